@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixture, sharding
+from . import exact_dedup, jaccard, mixture, sharding
 from .common import documents
 
 SHARDS = [1.0] * 40
 MIX = [3.0, 1.0, 2.0]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -28,7 +33,7 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_rendezvous_sharding, op7_source_mixture)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op7_source_mixture)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -150,3 +150,26 @@ def shingle_sets(texts: pa.Array, n: int = 5):
                 yield at + i, np.unique(all_grams[a : b - n + 1])
             else:
                 yield at + i, grams(h[a:b], b - a) if b > a else all_grams[:0]
+
+
+def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences from starts to before ends."""
+    sums = _sums(h, _WORD_STEP)
+    _, down = _powers(_WORD_STEP, len(h) + 1)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def least_places(a: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of every n consecutive values is, the first of equal ones."""
+    if len(a) < n:
+        return np.zeros(0, np.int64)
+    at, span = np.arange(len(a)), 1
+
+    def lower(left, right):
+        return np.where(a[left] <= a[right], left, right)
+
+    while span * 2 <= n:
+        at = lower(at[:-span], at[span:])
+        span *= 2
+    rest = n - span
+    return lower(at[: len(at) - rest], at[rest:]) if rest else at

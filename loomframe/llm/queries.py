@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixture, sharding
+from . import exact_dedup, jaccard, mixture, sharding, substring
 from .common import documents
 
 SHARDS = [1.0] * 40
@@ -33,7 +33,12 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op7_source_mixture)}
+def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op7_source_mixture, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

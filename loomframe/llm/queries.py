@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixture, sharding, substring
+from . import exact_dedup, isomedia, jaccard, mixture, sharding, substring, warc
 from .common import documents
 
 SHARDS = [1.0] * 40
@@ -25,6 +25,33 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), SHARDS)
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return rows.select(
+        F.col("capture").try_cast("long").alias("page_id"),
+        F.coalesce("origin.response.payload_bytes", "response.payload_bytes").alias("payload_bytes"),
+        F.coalesce("origin.response.payload_digest", "response.payload_digest").alias("payload_digest"),
+        "record_type",
+        F.col("origin.capture").try_cast("long").alias("refers_to"),
+    )
+
+
+def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = isomedia.inspect(isomedia.write_media(documents(spark, sf_dir)), with_payload=True)
+    payload, keys = F.col("info.payload"), F.col("info.keyframes")
+    ranges = F.array_join(F.transform(keys, lambda k: F.concat_ws("+", k.offset, k["size"])), ",")
+    return rows.select(
+        "doc_id",
+        F.col("info.original_bytes").alias("n_bytes"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("codec="), "info.codec", F.lit(" duration="), "info.duration", F.lit("/"), "info.timescale", F.lit(" keyframes="), ranges).alias("feature"),
+    )
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixture.mix(documents(spark, sf_dir), MIX)
     return rows.select(
@@ -38,7 +65,7 @@ def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op7_source_mixture, op10_rlz_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op6_iso_media, op7_source_mixture, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -45,8 +45,8 @@ from .hashing import mix, shingle_sets
 from .ship import ship
 
 #: Shingles in a bucket or cell, about, and in what a task packs at once.
-BUCKET = 4_000_000
-PACK = 1_500_000
+BUCKET = 3_000_000
+PACK = 1_000_000
 #: Rows up to which a list of ids is broadcast (16 bytes each); beyond, it is joined by shuffling.
 BROADCAST_IDS = 500_000
 #: Longest extension of a prefix that is tried, and what verifying a candidate costs in scanned postings.
@@ -152,7 +152,7 @@ def _count(cells: int):
 
 
 def _prefixes(percent: int):
-    """Of one cell of documents, the adaptive prefixes: rows (token, id, size, repeated, need)."""
+    """Of one cell of documents, the adaptive prefixes: rows (token, id, size, repeated, need, place)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes, counts, low, level = (
@@ -174,14 +174,17 @@ def _prefixes(percent: int):
             least = -(-percent * n // 100)
             if r < least:
                 continue
-            scan = np.cumsum(weight[s : s + r])[r - least : r - least + min(LONGEST, least)]
+            # The cost is that of meeting documents of the same size; smaller partners need the longer prefix that is emitted.
+            alike = min(r - 1, max(0, r + percent * -2 * n // (100 + percent)))
+            scan = np.cumsum(weight[s : s + r])[alike : alike + min(LONGEST, least)]
             extra = int(np.argmin(scan * (1 + VERIFY / np.arange(1, len(scan) + 1)))) + 1
             out.append((s, r - least + extra, n, r, extra))
         if not out:
-            return pa.table({"token": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "repeated": pa.array([], pa.int64()), "need": pa.array([], pa.int64())})
+            return pa.table({"token": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "size": pa.array([], pa.int64()), "repeated": pa.array([], pa.int64()), "need": pa.array([], pa.int64()), "place": pa.array([], pa.int64())})
         s, p, n, r, extra = (np.array(x, np.int64) for x in zip(*out))
-        at = np.repeat(s - np.concatenate(([0], np.cumsum(p)[:-1])), p) + np.arange(p.sum())
-        return pa.table({"token": token[at], "id": doc[at], "size": np.repeat(n, p), "repeated": np.repeat(r, p), "need": np.repeat(extra, p)})
+        place = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        at = np.repeat(s, p) + place
+        return pa.table({"token": token[at], "id": doc[at], "size": np.repeat(n, p), "repeated": np.repeat(r, p), "need": np.repeat(extra, p), "place": place})
 
     return run
 
@@ -244,13 +247,17 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
 
     packed = alone.mapInArrow(_pack(n, buckets), "bucket long, ids binary, sizes binary, counts binary, tokens binary")
     back = packed.groupBy("bucket").applyInArrow(_count(buckets), "cell long, bucket long, ids binary, sizes binary, counts binary, tokens binary, levels binary")
-    posts = cut(back.groupBy("cell").applyInArrow(_prefixes(percent), "token long, id long, size long, repeated long, need long"), "prefixes")
+    posts = cut(back.groupBy("cell").applyInArrow(_prefixes(percent), "token long, id long, size long, repeated long, need long, place long"), "prefixes")
 
     def fits(a: str, b: str):
         """Sizes permit the similarity, and so do the shingles that are repeated at all."""
         na, nb = F.col(f"{a}size"), F.col(f"{b}size")
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(f"{a}repeated", f"{b}repeated") >= percent * (na + nb))
 
+    # Of a pair, only places within the prefixes for its own least overlap count: percent * (na + nb) / (100 + percent), at most that of the emitted ones.
+    need = F.least("xneed", "yneed")
+    early = percent * (F.col("xsize") + F.col("ysize")) <= (100 + percent) * (F.least(F.col("xrepeated") - F.col("xplace"), F.col("yrepeated") - F.col("yplace")) + need - 1)
+
     hub = F.min(F.struct((F.col("size") - F.col("repeated")).alias("own"), F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("repeated").alias("hub_repeated")))
     hubs = posts.groupBy("token").agg(hub.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "h.hub", "h.hub_size", "h.hub_repeated")
     met = posts.join(hubs, "token").filter((F.col("id") != F.col("hub")) & fits("", "hub_")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
@@ -263,9 +270,9 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     x, y = (placed.select(*[F.col(c).alias(f"{p}{c}" if c != "token" else c) for c in placed.columns]) for p in "xy")
     pairs = (
         x.join(y, "token")
-        .filter((F.col("xcomponent") != F.col("ycomponent")) & (F.col("xid") < F.col("yid")) & fits("x", "y"))
+        .filter((F.col("xcomponent") != F.col("ycomponent")) & (F.col("xid") < F.col("yid")) & fits("x", "y") & early)
         .groupBy(F.col("yid").alias("id"), F.col("xid").alias("hub"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.least("xneed", "yneed")).alias("need"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(need).alias("need"))
         .filter("n >= need")
         .select("id", "hub")
     )

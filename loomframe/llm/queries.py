@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, isomedia, jaccard, mixture, sharding, substring, warc
+from . import exact_dedup, isomedia, jaccard, mixture, pii, sharding, substring, warc
 from .common import documents
 
 SHARDS = [1.0] * 40
@@ -36,6 +36,10 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir))
+
+
 def op6_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = isomedia.inspect(isomedia.write_media(documents(spark, sf_dir)), with_payload=True)
     payload, keys = F.col("info.payload"), F.col("info.keyframes")
@@ -65,7 +69,7 @@ def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op6_iso_media, op7_source_mixture, op10_rlz_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -238,7 +238,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     prints = cut(texts.mapInArrow(_fingerprints(n), "id long, size long, f1 long, f2 long"), "prints")
 
     real = prints.filter("id is not null and size > 0")
-    first = real.groupBy("size", "f1", "f2").agg(F.min("id").alias("first"))
+    # Written, so that the join deals out both sides itself and can split a large class.
+    first = cut(real.groupBy("size", "f1", "f2").agg(F.min("id").alias("first")), "first")
     copies = cut(real.join(first, ["size", "f1", "f2"]).select("id", "first").distinct(), "copies")
     total = real.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, isomedia, jaccard, mixture, pii, sharding, substring, warc
+from . import bpe, exact_dedup, isomedia, jaccard, mixture, pii, sharding, substring, warc
 from .common import documents
 
 SHARDS = [1.0] * 40
@@ -64,12 +64,33 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> tuple[bytes, str]:
+    """The rank file and pattern of the queries."""
+    import public_tokenizers
+
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def coded(df: DataFrame) -> DataFrame:
+    """doc_id and the digests of a text's ids and of the bytes decoded from them."""
+    ranks, pattern = vocabulary()
+    rows = bpe.decode(bpe.encode(df, ranks, pattern), ranks, pattern)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(documents(spark, sf_dir))
+
+
 def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op10_rlz_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op8_bpe_duckdb, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

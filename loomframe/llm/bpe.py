@@ -39,7 +39,7 @@ from .common import col, text_of
 from .ship import ship
 
 #: Words in one recursive query, ids in one decoding query and record batch, words in the cache.
-WORDS, IDS, CACHE = 60_000, 1_000_000, 600_000
+WORDS, IDS, CACHE = 30_000, 500_000, 600_000
 LONG = 256
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
@@ -56,7 +56,7 @@ _ONE = """
                 SELECT step, w, pos, id, lead(id) OVER place AS next_id, lag(pos) OVER place AS before FROM state WINDOW place AS (PARTITION BY w ORDER BY pos)),
             pair AS (SELECT near.*, merges.rank FROM near LEFT JOIN merges ON merges.l = near.id AND merges.r = near.next_id),
             best AS (SELECT w, min(CAST(rank AS BIGINT) << 32 | pos) AS least FROM pair WHERE rank IS NOT NULL GROUP BY w)
-            SELECT step + 1, pair.w, pair.pos, CASE WHEN pair.pos = best.least & 4294967295 THEN best.least >> 32 ELSE pair.id END
+            SELECT step + 1, pair.w, pair.pos, CASE WHEN pair.pos = best.least & 4294967295 THEN CAST(best.least >> 32 AS INTEGER) ELSE pair.id END
             FROM pair JOIN best ON pair.w = best.w
             WHERE pair.before IS DISTINCT FROM best.least & 4294967295))
 """
@@ -103,13 +103,13 @@ class Coder:
         merges = [(a, b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         l, r, rank = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3  # noqa: E741
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        entries = pa.table({"l": l, "r": r, "rank": rank})  # noqa: F841
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        entries = pa.table([pa.array(x, pa.int32()) for x in (l, r, rank)], ["l", "r", "rank"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM entries")
         # Tokens that are part of a token of lower rank.
         self.db.execute("CREATE TABLE early AS SELECT l AS id FROM merges WHERE rank < l UNION SELECT r FROM merges WHERE rank < r")
         # A byte b is written as the character 256 + b, whose low byte in UTF-16 is b again.
-        entries = pa.table({"id": pa.array(self.rank.values(), pa.int64()), "chars": ["".join(chr(256 + b) for b in t) for t in self.rank]})  # noqa: F841
+        entries = pa.table({"id": pa.array(self.rank.values(), pa.int32()), "chars": ["".join(chr(256 + b) for b in t) for t in self.rank]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM entries")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -125,7 +125,7 @@ class Coder:
             lengths = np.array([len(words[i]) for i in share])
             w = np.repeat(np.arange(len(share)), lengths)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            start = pa.table({"w": w, "pos": pos, "id": self.byte[data]})  # noqa: F841
+            start = pa.table([pa.array(x, pa.int32()) for x in (w, pos, self.byte[data])], ["w", "pos", "id"])  # noqa: F841
             query = _ALL if lengths[0] > LONG else _ONE
             got = self.db.execute(query + _LAST).fetchnumpy()
             ids = np.asarray(got["id"]).astype(np.int32)
@@ -153,11 +153,19 @@ class Coder:
         return [np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for ps in pieces]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of each of the lists of ids that offsets cut."""
+        """The bytes of each of the lists of ids that offsets cut; shares of about IDS ids, or one longer list."""
+        out, at = [], 0
+        while at + 1 < len(offsets):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + IDS, "right")) - 1)
+            out += self._decode(ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
+        return out
+
+    def _decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         lengths = np.diff(offsets)
         n = len(lengths)
         doc = np.repeat(np.arange(n), lengths)
-        tokens = pa.table({"doc": doc, "pos": np.arange(len(ids)), "id": ids.astype(np.int64)})  # noqa: F841
+        tokens = pa.table([pa.array(x, pa.int32()) for x in (doc, np.arange(len(ids)), ids)], ["doc", "pos", "id"])  # noqa: F841
         got = self.db.execute(
             "SELECT doc, string_agg(chars, '' ORDER BY pos) AS chars, count(*) AS n FROM tokens JOIN vocabulary USING (id) GROUP BY doc"
         ).fetchnumpy()
@@ -180,21 +188,23 @@ def _coder(ranks: bytes, pattern: str) -> Coder:
     return held[key]
 
 
-def _encode(ranks, pattern: str):
+def _encode(ranks, pattern: str, back: bool):
+    """(key, text) -> (key, ids), and if ``back`` the bytes decoded from the ids."""
+
     def run(batches):
         coder = _coder(ranks.value, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
+            keys, texts = batch.column(0), batch.column(1)
+            at, ends = 0, np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False))
             while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and (to == at or held + len(texts[to]) <= 2 * IDS):
-                    held += len(texts[to])
-                    to += 1
-                ids = coder.encode(texts[at:to])
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * IDS, "right")))
+                ids = coder.encode(texts.slice(at, to - at).to_pylist())
                 offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], ["key", "ids"])
+                flat = np.concatenate(ids)
+                out = [keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+                if back:
+                    out.append(pa.array(coder.decode(flat, offsets), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
                 at = to
 
     return run
@@ -224,7 +234,15 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text:
     rows = df.select(col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     vocabulary = df.sparkSession.sparkContext.broadcast(ranks)
-    return rows.mapInArrow(_encode(vocabulary, pattern), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(_encode(vocabulary, pattern, False), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+
+
+def round_trip(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """encode and decode in one worker: one row per input row, key, ids, decoded (the binary that the ids give)."""
+    rows = df.select(col(key).alias("key"), text_of(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    vocabulary = df.sparkSession.sparkContext.broadcast(ranks)
+    return rows.mapInArrow(_encode(vocabulary, pattern, True), f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -74,7 +74,7 @@ def vocabulary() -> tuple[bytes, str]:
 def coded(df: DataFrame) -> DataFrame:
     """doc_id and the digests of a text's ids and of the bytes decoded from them."""
     ranks, pattern = vocabulary()
-    rows = bpe.decode(bpe.encode(df, ranks, pattern), ranks, pattern)
+    rows = bpe.round_trip(df, ranks, pattern)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, isomedia, jaccard, mixture, pii, sharding, substring, warc
+from . import bpe, exact_dedup, isomedia, jaccard, mixture, pii, sharding, substring, toxicity, warc
 from .common import documents
 
 SHARDS = [1.0] * 40
@@ -85,12 +85,22 @@ def op8_bpe_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(documents(spark, sf_dir))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> dict | None:
+    return toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op8_bpe_duckdb, op10_rlz_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op8_bpe_duckdb, op9_toxicity_bigru, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

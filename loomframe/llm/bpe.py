@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import col, text_of
 from .ship import ship
 
-#: Words in one recursive query, ids in one decoding query and record batch, words in the cache.
-WORDS, IDS, CACHE = 30_000, 500_000, 600_000
+#: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words in the cache.
+WORDS, IDS, CHARS, CACHE = 60_000, 500_000, 24_000_000, 500_000
 LONG = 256
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
@@ -88,6 +88,23 @@ def load(path: str) -> bytes:
         return f.read()
 
 
+class _Words(dict):
+    """Numbers words as they are met; ``new`` are those that have no ids yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] numbers, then those of the next."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Coder:
     """The vocabulary in a DuckDB database of this process."""
 
@@ -111,46 +128,54 @@ class Coder:
         # A byte b is written as the character 256 + b, whose low byte in UTF-16 is b again.
         entries = pa.table({"id": pa.array(self.rank.values(), pa.int32()), "chars": ["".join(chr(256 + b) for b in t) for t in self.rank]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM entries")
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as 32-bit numbers, by the recursive query."""
-        out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        rest = [i for i, w in enumerate(words) if len(w) > LONG]
-        shares = [short[i : i + WORDS] for i in range(0, len(short), WORDS)] + [[i] for i in rest]
-        for share in shares:
-            data = np.frombuffer(b"".join(words[i] for i in share), np.uint8)
+        self.forget()
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        counts, parts = np.ones(len(words), np.int64), []
+        known = np.array([self.rank.get(w, -1) for w in words], np.int64)
+        open_ = np.flatnonzero(known < 0)
+        sizes = np.array([len(words[i]) for i in open_], np.int64)
+        short, long_ = open_[sizes <= LONG], open_[sizes > LONG]
+        parts.append((np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32)))
+        for share in [short[i : i + WORDS] for i in range(0, len(short), WORDS)] + [long_[i : i + 1] for i in range(len(long_))]:
+            data = np.frombuffer(b"".join([words[i] for i in share]), np.uint8)
             lengths = np.array([len(words[i]) for i in share])
             w = np.repeat(np.arange(len(share)), lengths)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             start = pa.table([pa.array(x, pa.int32()) for x in (w, pos, self.byte[data])], ["w", "pos", "id"])  # noqa: F841
-            query = _ALL if lengths[0] > LONG else _ONE
-            got = self.db.execute(query + _LAST).fetchnumpy()
-            ids = np.asarray(got["id"]).astype(np.int32)
-            for i, x in zip(share, np.split(ids, np.flatnonzero(np.diff(got["w"])) + 1)):
-                out[i] = x.tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        pieces = [self.find(t) for t in texts]
-        if len(self.cache) > CACHE // 2:
-            self.older, self.cache = self.cache, {}
-        open_ = []
-        for p in {p for ps in pieces for p in ps}:
-            if p in self.cache:
-                continue
-            if (ids := self.older.get(p)) is not None:
-                self.cache[p] = ids
-            elif (r := self.rank.get(b := p.encode())) is not None:
-                self.cache[p] = r.to_bytes(4, "little")
-            else:
-                open_.append((p, b))
-        self.cache.update(zip([p for p, _ in open_], self.contract([b for _, b in open_])))
-        known = self.cache
-        return [np.frombuffer(b"".join([known[p] for p in ps]), np.int32) for ps in pieces]
+            got = self.db.execute((_ALL if lengths[0] > LONG else _ONE) + _LAST).fetchnumpy()
+            counts[share] = np.bincount(got["w"], minlength=len(share))
+            parts.append((share, np.asarray(got["id"], np.int32)))
+        flat, starts = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
+        for share, ids in parts:
+            flat[_ranges(starts[share], counts[share])] = ids
+        return flat, counts
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. texts: an iterable of strings."""
+        if len(self.words) > CACHE:
+            self.forget()
+        places, pieces = [], []
+        for text in texts:
+            found = self.find(text)
+            places.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
+            pieces.append(len(found))
+        if self.words.new:
+            flat, counts = self.contract([p.encode() for p in self.words.new])
+            self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+            self.starts = np.cumsum(self.counts) - self.counts
+            self.words.new = []
+        each = np.concatenate(places) if places else np.zeros(0, np.int32)
+        counts = self.counts[each]
+        ids = self.flat[_ranges(self.starts[each], counts)]
+        ends = np.append(0, np.cumsum(counts))[np.cumsum(pieces)] if pieces else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self.words = _Words()
+        self.flat, self.counts, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each of the lists of ids that offsets cut; shares of about IDS ids, or one longer list."""
@@ -195,16 +220,21 @@ def _encode(ranks, pattern: str, back: bool):
         coder = _coder(ranks.value, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            at, ends = 0, np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False))
+            at, ends = 0, np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2 * IDS, "right")))
-                ids = coder.encode(texts.slice(at, to - at).to_pylist())
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                flat = np.concatenate(ids)
-                out = [keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
-                if back:
-                    out.append(pa.array(coder.decode(flat, offsets), pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right")))
+                flat, counts = coder.encode(x.as_py() for x in texts.slice(at, to - at))
+                offsets = np.append(0, np.cumsum(counts))
+                # Record batches of about IDS ids.
+                first = 0
+                while first < to - at:
+                    last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + IDS, "right")) - 1)
+                    own, cuts = flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                    out = [keys.slice(at + first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int32()))]
+                    if back:
+                        out.append(pa.array(coder.decode(own, cuts), pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+                    first = last
                 at = to
 
     return run

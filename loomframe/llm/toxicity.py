@@ -363,10 +363,17 @@ def score(df: DataFrame, model: dict | None, key: str = "doc_id", text: str = "t
     return rows.mapInArrow(_score(shared), f"key {kind}, text string, score double").select(F.col("key").alias(key), F.col("text").alias(text), "score")
 
 
+def _accept(model, column: int, least: float):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(model.value, batch.column(column)) < least))
+
+    return run
+
+
 def accepted(df: DataFrame, model: dict | None, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of df that score below ``least``, all their columns kept."""
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
-    rows = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], text_of(text).alias("scored"))
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    fields = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(plain, df.schema.fields))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_score(shared), f"{fields}, scored string, score double").filter(F.col("score") < least)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return df.toDF(*plain).mapInArrow(_accept(shared, df.columns.index(text), least), fields).toDF(*df.columns)

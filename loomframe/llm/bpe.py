@@ -36,10 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, text_of
+from .hashing import trim
 from .ship import ship
 
 #: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words in the cache.
-WORDS, IDS, CHARS, CACHE = 60_000, 500_000, 24_000_000, 500_000
+WORDS, IDS, CHARS, CACHE = 30_000, 500_000, 16_000_000, 400_000
 LONG = 256
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
@@ -120,7 +121,7 @@ class Coder:
         merges = [(a, b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         l, r, rank = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3  # noqa: E741
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         entries = pa.table([pa.array(x, pa.int32()) for x in (l, r, rank)], ["l", "r", "rank"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM entries")
         # Tokens that are part of a token of lower rank.
@@ -166,6 +167,7 @@ class Coder:
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
             self.starts = np.cumsum(self.counts) - self.counts
             self.words.new = []
+            trim()
         each = np.concatenate(places) if places else np.zeros(0, np.int32)
         counts = self.counts[each]
         ids = self.flat[_ranges(self.starts[each], counts)]
@@ -217,6 +219,7 @@ def _encode(ranks, pattern: str, back: bool):
     """(key, text) -> (key, ids), and if ``back`` the bytes decoded from the ids."""
 
     def run(batches):
+        trim()
         coder = _coder(ranks.value, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
@@ -236,6 +239,8 @@ def _encode(ranks, pattern: str, back: bool):
                     yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
                     first = last
                 at = to
+                del flat, out, own
+                trim()
 
     return run
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, text_of
+from .hashing import trim
 from .ship import ship
 
 SIDE, FRAME, RATE, GROUP, FILL = 24, 576, 24, 24, b"\xff"
@@ -147,6 +148,7 @@ def _write(batches):
         for part in _slices(batch, batch.num_columns - 1):
             media = pa.array([encode(x or b"") for x in part.column(part.num_columns - 1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], media], part.schema.names)
+        trim()
 
 
 _INFO = pa.struct([

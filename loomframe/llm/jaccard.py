@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import col, cut
 from .components import components
-from .hashing import mix, shingle_sets
+from .hashing import mix, shingle_sets, trim
 from .ship import ship
 
 #: Shingles in a bucket or cell, about, and in what a task packs at once.
@@ -68,6 +68,7 @@ def _fingerprints(n: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["id", "size", "f1", "f2"]
             )
+            trim()
 
     return run
 
@@ -109,8 +110,11 @@ def _pack(n: int, buckets: int):
                     if held >= PACK:
                         yield flush(ids, sizes, sets)
                         ids, sizes, sets, held = [], [], [], 0
+                        trim()
         if held:
             yield flush(ids, sizes, sets)
+        ids = sizes = sets = None
+        trim()
 
     return run
 
@@ -128,6 +132,7 @@ def _count(cells: int):
     """Of one bucket, the shingles that occur more than once go back to their documents, a row for each cell of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         bucket = table.column("bucket")[0].as_py()
         ids, sizes, counts, low = (_joined(table, x, t) for x, t in (("ids", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tokens", np.uint32)))
         order = np.argsort(low, kind="stable")
@@ -155,6 +160,7 @@ def _prefixes(percent: int):
     """Of one cell of documents, the adaptive prefixes: rows (token, id, size, repeated, need, place)."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         ids, sizes, counts, low, level = (
             _joined(table, x, t) for x, t in (("ids", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tokens", np.uint32), ("levels", np.uint8))
         )
@@ -210,6 +216,7 @@ def _verify(n: int, percent: int):
                         b.append(hub[row])
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            trim()
 
     return run
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut
-from .hashing import chunks, grams, least_places, mix, spans, words
+from .hashing import chunks, grams, least_places, mix, spans, trim, words
 from .ship import ship
 
 #: Entries that a task packs at once, and entries in a block, about.
@@ -146,14 +146,18 @@ def _ask_phrases(window: int, gram: int, blocks: int, cells: int):
                     if held >= PACK:
                         yield from flush(rows, anchors, phrases)
                         rows, anchors, phrases, held = [], [], [], 0
+                        trim()
         if held:
             yield from flush(rows, anchors, phrases)
+        rows = anchors = phrases = None
+        trim()
 
     return run
 
 
 def _answer_phrases(blocks: int, cells: int):
     def run(table: pa.Table) -> pa.Table:
+        trim()
         row, anchor, phrase, code = _unpacked(table)
         part = table.column("part")[0].as_py()
         if part >= blocks:
@@ -246,14 +250,18 @@ def _ask_windows(window: int, gram: int, blocks: int, cells: int):
                 if held >= PACK:
                     yield from flush(rows, keys, asked)
                     rows, keys, asked, held = [], [], [], 0
+                    trim()
         if held:
             yield from flush(rows, keys, asked)
+        rows = keys = asked = None
+        trim()
 
     return run
 
 
 def _answer_windows(blocks: int, cells: int):
     def run(table: pa.Table) -> pa.Table:
+        trim()
         row, key, _, code = _unpacked(table)
         part = table.column("part")[0].as_py()
         if part >= blocks:
@@ -320,6 +328,7 @@ def _remove(window: int, gram: int):
                  pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 ["key", "n_words", "n_removed", "kept", "spans"],
             )
+            trim()
 
     return run
 

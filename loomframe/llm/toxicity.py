@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, text_of
-from .hashing import _FOLDED, chunks, mix, words
+from .hashing import _FOLDED, chunks, mix, trim, words
 from .ship import ship
 
 WIDTH, STRIDE = 32, 16
@@ -351,6 +351,7 @@ def _score(model):
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(model.value, batch.column(batch.num_columns - 1)))], [*batch.schema.names, "score"])
+            trim()
 
     return run
 
@@ -367,6 +368,7 @@ def _accept(model, column: int, least: float):
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(scores(model.value, batch.column(column)) < least))
+            trim()
 
     return run
 

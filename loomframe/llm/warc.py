@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, cut, shared_path, text_of
+from .hashing import trim
 from .ship import ship
 
 #: Written in every record: archives of equal inputs are equal.
@@ -94,6 +95,7 @@ def _records(date: str):
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            trim()
 
     return run
 

@@ -40,7 +40,7 @@ from .hashing import trim
 from .ship import ship
 
 #: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words in the cache.
-WORDS, IDS, CHARS, CACHE = 30_000, 500_000, 16_000_000, 400_000
+WORDS, IDS, CHARS, CACHE = 30_000, 400_000, 8_000_000, 400_000
 LONG = 256
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
@@ -121,7 +121,7 @@ class Coder:
         merges = [(a, b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         l, r, rank = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3  # noqa: E741
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         entries = pa.table([pa.array(x, pa.int32()) for x in (l, r, rank)], ["l", "r", "rank"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM entries")
         # Tokens that are part of a token of lower rank.
@@ -153,26 +153,28 @@ class Coder:
             flat[_ranges(starts[share], counts[share])] = ids
         return flat, counts
 
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has. texts: an iterable of strings."""
+    def encode(self, texts):
+        """Yields (ids one after the other, how many each text has) for groups of texts, in order, of about IDS ids or one longer text. texts: an iterable of strings."""
         if len(self.words) > CACHE:
             self.forget()
-        places, pieces = [], []
+        places = []
         for text in texts:
             found = self.find(text)
             places.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
-            pieces.append(len(found))
         if self.words.new:
-            flat, counts = self.contract([p.encode() for p in self.words.new])
+            new, self.words.new = self.words.new, []
+            flat, counts = self.contract([p.encode() for p in new])
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
             self.starts = np.cumsum(self.counts) - self.counts
-            self.words.new = []
+            del new, flat, counts
             trim()
-        each = np.concatenate(places) if places else np.zeros(0, np.int32)
-        counts = self.counts[each]
-        ids = self.flat[_ranges(self.starts[each], counts)]
-        ends = np.append(0, np.cumsum(counts))[np.cumsum(pieces)] if pieces else np.zeros(0, np.int64)
-        return ids, np.diff(ends, prepend=0)
+        sizes = np.array([int(self.counts[p].sum()) for p in places], np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(places):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + IDS, "right")))
+            each = np.concatenate(places[at:to])
+            yield self.flat[_ranges(self.starts[each], self.counts[each])], sizes[at:to]
+            at = to
 
     def forget(self) -> None:
         """Empty the cache of words."""
@@ -226,21 +228,20 @@ def _encode(ranks, pattern: str, back: bool):
             at, ends = 0, np.cumsum(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right")))
-                flat, counts = coder.encode(x.as_py() for x in texts.slice(at, to - at))
-                offsets = np.append(0, np.cumsum(counts))
-                # Record batches of about IDS ids.
-                first = 0
-                while first < to - at:
-                    last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + IDS, "right")) - 1)
-                    own, cuts = flat[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-                    out = [keys.slice(at + first, last - first), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int32()))]
+                first = at
+                for flat, counts in coder.encode(x.as_py() for x in texts.slice(at, to - at)):
+                    cuts = np.append(0, np.cumsum(counts))
+                    out = [keys.slice(first, len(counts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat, pa.int32()))]
                     if back:
-                        out.append(pa.array(coder.decode(own, cuts), pa.binary()))
+                        out.append(pa.array(coder.decode(flat, cuts), pa.binary()))
                     yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
-                    first = last
+                    first += len(counts)
                 at = to
-                del flat, out, own
+                out = flat = None
                 trim()
+        if len(coder.words) > CACHE:
+            coder.forget()
+        trim()
 
     return run
 

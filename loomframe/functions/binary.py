@@ -244,6 +244,8 @@ def run_process(args, shell: bool = False, on_error: str = "raise", return_dtype
     @F.pandas_udf("string")
     def udf(s: pd.Series) -> pd.Series:
         def one(a):
+            if not isinstance(a, str) and any(x is None for x in a):
+                return None
             try:
                 return subprocess.run(a if shell or isinstance(a, str) else list(a), shell=shell or isinstance(a, str), capture_output=True, text=True, check=True).stdout
             except (OSError, subprocess.CalledProcessError):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
@@ -159,9 +160,13 @@ class Frame:
                 raise ValueError(f"a sample of {size} from {n} rows")
             return Frame(self.df.orderBy(F.rand(seed)).limit(size))
         spark = self.df.sparkSession
+        # Rows are numbered through the counts of partitions, then drawn by number.
+        rows = self.df.withColumn("__row", F.monotonically_increasing_id()).persist()
+        parts = rows.groupBy(F.shiftright("__row", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+        before = parts.withColumn("__start", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        numbered = rows.join(F.broadcast(before), F.shiftright("__row", 33) == F.col("__part")).withColumn("__nth", F.col("__start") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
         picks = spark.range(size).select(F.floor(F.rand(seed) * n).cast("long").alias("__nth"))
-        rows = spark.createDataFrame(self.df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), self.df.schema.add("__nth", "long"))
-        return Frame(picks.join(rows, "__nth").drop("__nth"))
+        return Frame(picks.join(numbered, "__nth").select(*[F.col(f"`{c}`") for c in self.df.columns]))
 
     def sort(self, by, desc=False, nulls_first=None) -> Frame:
         return Frame(self.df.orderBy(*ordering(by, desc, nulls_first)))
@@ -192,7 +197,7 @@ class Frame:
 
     def explode(self, *columns: str, index_column: str | None = None, ignore_empty_and_null: bool = False) -> Frame:
         """Lists side by side, one row a place; shorter ones are filled with nulls."""
-        zipped = F.arrays_zip(*[F.coalesce(F.col(c), F.array()) for c in columns]) if len(columns) > 1 else F.transform(F.col(columns[0]), lambda x: F.struct(x.alias(columns[0])))
+        zipped = F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(self.df.schema[c].dataType)) for c in columns]) if len(columns) > 1 else F.transform(F.col(columns[0]), lambda x: F.struct(x.alias(columns[0])))
         f = F.posexplode if ignore_empty_and_null else F.posexplode_outer
         rows = self.df.select(*self.df.columns, f(zipped).alias("__pos", "__item"))
         fields = {c: F.col("__item").getField(c if len(columns) == 1 else str(i)) for i, c in enumerate(columns)}

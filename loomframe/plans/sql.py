@@ -9,7 +9,7 @@ _SQL = {
                round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""",
     "tpch_q3": """
-        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+        SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, o_orderdate
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00'
         GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
@@ -17,7 +17,7 @@ _SQL = {
         SELECT o_orderpriority, count(*) AS order_count FROM orders
         WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity > 25) GROUP BY o_orderpriority""",
     "tpch_q5": """
-        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+        SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         WHERE r_name = 'ASIA' GROUP BY n_name""",
@@ -25,7 +25,7 @@ _SQL = {
         SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
     "tpch_q7": """
-        SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+        SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
             SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(YEAR FROM l_shipdate) AS BIGINT) AS l_year, l_extendedprice * (1 - l_discount) AS volume
             FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
             JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey) shipping
@@ -38,11 +38,11 @@ _SQL = {
             JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'EUROPE') all_nations
         GROUP BY o_year""",
     "tpch_q9_profit": """
-        SELECT n_name AS nation, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * 0.1 * l_quantity), 2) AS sum_profit
+        SELECT n_name AS nation, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * 0.1 * l_quantity), 4) AS sum_profit
         FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey
         WHERE p_name LIKE '%a%' GROUP BY n_name, extract(YEAR FROM o_orderdate)""",
     "tpch_q10": """
-        SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name
+        SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
         WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     "tpch_q14": """
@@ -75,7 +75,7 @@ _SQL = {
     "sql_using_full": """
         SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey < 15) FULL JOIN (SELECT s_suppkey AS k, s_name AS b FROM supplier) USING (k)""",
     "sql_set_operations": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 0",
-    "sql_casts": "SELECT p_partkey, CAST(p_retailprice AS INTEGER) AS whole, TRY_CAST(p_name AS INTEGER) AS nothing, CAST(p_size AS VARCHAR(10)) AS size_text FROM part",
+    "sql_casts": "SELECT p_partkey, CAST(floor(p_retailprice) AS INTEGER) AS whole, TRY_CAST(p_name AS INTEGER) AS nothing, CAST(p_size AS VARCHAR(10)) AS size_text FROM part",
     "sql_like_extract": "SELECT event_id, CAST(extract(HOUR FROM ts) AS BIGINT) AS hour, event_type LIKE 'p%' AS p FROM events WHERE event_type ILIKE '%U%'",
 }
 for _name, _text in _SQL.items():

@@ -162,7 +162,7 @@ class Session:
 
     def write_table(self, name: str, frame, mode: str = "append") -> None:
         df = getattr(frame, "df", frame)
-        df.writeTo(name).append() if mode == "append" and self.has_table(name) else df.write.mode(mode).saveAsTable(name)
+        df.write.mode(mode).insertInto(name) if mode == "append" and self.has_table(name) else df.write.mode(mode).saveAsTable(name)
 
     # Providers of models.
     def attach_provider(self, provider, alias: str) -> None:

@@ -187,6 +187,10 @@ class Frame:
     def into_partitions(self, num: int) -> Frame:
         return Frame(self.df.coalesce(num) if num <= self.num_partitions() else self.df.repartition(num))
 
+    def shard(self, world_size: int, rank: int) -> Frame:
+        """The files of one of world_size readers, by a hash of their paths; for frames that read files."""
+        return Frame(self.df.filter(F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(world_size)) == rank))
+
     def into_batches(self, batch_size: int) -> Frame:
         """Python batches of at most batch_size rows; rows are the same."""
         self.df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_size)
@@ -374,6 +378,12 @@ class Frame:
 
         return DataLoader(self.to_torch_map_dataset(), batch_size=batch_size, **options)
 
+    def to_ray_dataset(self):
+        raise NotImplementedError("no Ray here: write Parquet and read it there")
+
+    def to_dask_dataframe(self):
+        raise NotImplementedError("no Dask here: write Parquet and read it there")
+
     # Sinks.
     def _written(self, root_dir: str, kind: str, write_mode: str, partition_cols, options: dict) -> Frame:
         from ..sources.writers import write

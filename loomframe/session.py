@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,13 @@ def execution_config(**settings):
             spark.conf.unset(k) if x is None else spark.conf.set(k, x)
 
 
+def table_functions(query: str) -> str:
+    """read_parquet('path') and its like, and quoted paths after FROM or JOIN, as Spark writes them."""
+    kinds = {"read_parquet": "parquet", "read_json": "json", "read_csv": "csv", "read_deltalake": "delta", "read_iceberg": "iceberg"}
+    query = re.sub(rf"\b({'|'.join(kinds)})\(\s*'([^']+)'\s*\)", lambda m: f"{kinds[m[1]]}.`{m[2]}`", query)
+    return re.sub(r"\b(FROM|JOIN)\s+'([^']+)\.(parquet|json|csv)'", lambda m: f"{m[1]} {m[3]}.`{m[2]}.{m[3]}`", query, flags=re.IGNORECASE)
+
+
 class Session:
     """Tables, views, functions, namespaces and providers by name."""
 
@@ -55,7 +63,7 @@ class Session:
 
         for name, frame in bindings.items():
             self.attach_table(frame, name)
-        return Frame(self.spark.sql(query))
+        return Frame(self.spark.sql(table_functions(query)))
 
     def attach(self, x, alias: str) -> None:
         if callable(x):

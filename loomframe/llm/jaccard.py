@@ -52,7 +52,7 @@ BROADCAST_IDS = 500_000
 #: Longest extension of a prefix that is tried, and what verifying a candidate costs in scanned postings.
 LONGEST, VERIFY = 16, 24
 #: Texts that one salt of a hub takes.
-HUB_ROWS = 2_000
+HUB_ROWS = 200
 
 ship(__name__)
 
@@ -230,7 +230,7 @@ def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """pairs: (id, hub). Returns those that link, as (a, b)."""
     pairs = cut(pairs, "pairs")
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("long").alias("salts"))
+    salts = cut(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("long").alias("salts")), "salts")
     members = pairs.join(salts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
     heads = salts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     need = cut(members.unionByName(heads), "need")
@@ -267,13 +267,16 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     early = percent * (F.col("xsize") + F.col("ysize")) <= (100 + percent) * (F.least(F.col("xrepeated") - F.col("xplace"), F.col("yrepeated") - F.col("yplace")) + need - 1)
 
     hub = F.min(F.struct((F.col("size") - F.col("repeated")).alias("own"), F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("repeated").alias("hub_repeated")))
+    # What postings are joined with is written first: a join of two plain tables can split a frequent token.
     hubs = posts.groupBy("token").agg(hub.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "h.hub", "h.hub_size", "h.hub_repeated")
+    hubs = cut(hubs, "hubs")
     met = posts.join(hubs, "token").filter((F.col("id") != F.col("hub")) & fits("", "hub_")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
     stars = _verified(alone, met.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), n, percent)
 
     groups = components(stars).withColumnRenamed("node", "id")
     placed = posts.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
+    mixed = cut(mixed, "mixed")
     placed = cut(placed.join(mixed, "token", "left_semi"), "placed")
     x, y = (placed.select(*[F.col(c).alias(f"{p}{c}" if c != "token" else c) for c in placed.columns]) for p in "xy")
     pairs = (

@@ -205,7 +205,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     """Adds ``origin``: of a revisit, the capture and response that hold its payload; of others null."""
     asked = captures.filter("refers_to is not null").select(F.col("refers_to").alias("id")).distinct()
     named = captures.select(F.col("response.record_id").alias("id"), F.struct("capture", "response").alias("origin"))
-    origin = named.join(asked, "id", "left_semi").groupBy("id").agg(F.first("origin").alias("origin"))
+    # Written, so that the join can split the revisits of one payload.
+    origin = cut(named.join(asked, "id", "left_semi").groupBy("id").agg(F.first("origin").alias("origin")), "origins")
     return captures.join(origin, captures["refers_to"] == origin["id"], "left").drop("id")
 
 

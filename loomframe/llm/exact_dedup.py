@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, fresh, text_of
 
+#: Rows up to which the list of those that go is broadcast (about 100 bytes each); beyond, it is joined by shuffling.
+BROADCAST_ROWS = 300_000
+
 
 def _narrow(df: DataFrame, key: str, text: str) -> DataFrame:
     return cut(df.select(F.monotonically_increasing_id().alias("row"), col(key).alias("key"), F.sha2(text_of(text), 256).alias("digest")), "digests")
@@ -55,16 +58,24 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", heavy: i
 def kept_documents(df: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = 1024, tracked: int = 8192) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    Groups of one text stay as they are; of larger groups the row that was
-    chosen is found again by key and digest. Rows that repeat key and text are
-    told apart by an arbitrary rank, needed only where such rows exist.
+    Rows that go are found again by key and digest, so texts aren't shuffled
+    while the list of those is short. Of rows that repeat key and text of a
+    row that stays, an arbitrary one is kept.
     """
-    decided = cut(_decide(_narrow(df, key, text), heavy, tracked).filter("group_size > 1"), "decided")
+    decided = _decide(_narrow(df, key, text), heavy, tracked).filter("group_size > 1")
+    groups = cut(decided.groupBy(F.col("key").alias("__loom_k"), F.col("digest").alias("__loom_d")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "decided")
     d, n = fresh(df, "digest"), fresh(df, "rank")
-    grouped = decided.select(F.col("digest").alias("__loom_d"), F.col("key").alias("__loom_k"), "kept").groupBy("__loom_k", "__loom_d").agg(F.max("kept").alias("__loom_kept"), F.count(F.lit(1)).alias("__loom_n"))
-    rows = df.withColumn(d, F.sha2(text_of(text), 256)).join(grouped, F.col("__loom_k").eqNullSafe(col(key)) & (F.col("__loom_d") == col(d)), "left")
-    rows = rows.filter("__loom_kept is null or __loom_kept")
-    if decided.groupBy("key", "digest").count().filter("count > 1").limit(1).count():
+    rows = df.withColumn(d, F.sha2(text_of(text), 256))
+
+    def found(some: DataFrame, how: str) -> DataFrame:
+        some = some.select("__loom_k", "__loom_d")
+        small = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return rows.join(F.broadcast(some) if small else some, F.col("__loom_k").eqNullSafe(col(key)) & (F.col("__loom_d") == col(d)), how)
+
+    rows = found(groups.filter("not stays"), "left_anti")
+    repeated = groups.filter("stays and n > 1")
+    if repeated.limit(1).count():
         once = Window.partitionBy(col(key), col(d)).orderBy(F.lit(1))
-        rows = rows.withColumn(n, F.row_number().over(once)).filter((col(n) == 1) | F.col("__loom_kept").isNull())
+        first = found(repeated, "left_semi").withColumn(n, F.row_number().over(once)).filter(col(n) == 1).drop(n)
+        rows = found(repeated, "left_anti").unionByName(first)
     return rows.select(*[col(c) for c in df.columns])

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, text_of
-from .hashing import trim
+from .hashing import HELD, trim
 from .ship import ship
 
 #: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words in the cache.
-WORDS, IDS, CHARS, CACHE = 30_000, 400_000, 8_000_000, 400_000
-LONG = 256
+WORDS, IDS, CHARS, CACHE = 15_000, 300_000, 6_000_000, 400_000
+LONG, STEP_ROWS = 256, 2_000_000
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
 # digits, and separators on which the two libraries disagree.
@@ -66,7 +66,7 @@ _ALL = """
         SELECT 0, w, pos, id FROM start
         UNION ALL (
             WITH near AS (
-                SELECT step, w, pos, id, lead(id) OVER place AS next_id, row_number() OVER place AS nth FROM state WINDOW place AS (PARTITION BY w ORDER BY pos)),
+                SELECT step, w, pos, id, lead(id) OVER place AS next_id, row_number() OVER place AS nth FROM state WHERE step < {steps} WINDOW place AS (PARTITION BY w ORDER BY pos)),
             pair AS (SELECT near.*, merges.rank FROM near LEFT JOIN merges ON merges.l = near.id AND merges.r = near.next_id),
             best AS (SELECT w, min(rank) AS least FROM pair WHERE rank IS NOT NULL GROUP BY w),
             hit AS (SELECT pair.w, pair.nth, best.least IN (SELECT id FROM early) AS early, pair.nth - row_number() OVER (PARTITION BY pair.w ORDER BY pair.nth) AS run FROM pair JOIN best ON pair.w = best.w AND pair.rank = best.least),
@@ -78,7 +78,7 @@ _ALL = """
             LEFT JOIN taken gone ON gone.w = pair.w AND gone.nth = pair.nth - 1
             WHERE gone.w IS NULL))
 """
-_LAST = "SELECT w, id FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) ORDER BY w, pos"
+_LAST = "SELECT w, id, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) ORDER BY w, pos"
 
 ship(__name__)
 
@@ -139,13 +139,17 @@ class Coder:
         sizes = np.array([len(words[i]) for i in open_], np.int64)
         short, long_ = open_[sizes <= LONG], open_[sizes > LONG]
         parts.append((np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32)))
-        for share in [short[i : i + WORDS] for i in range(0, len(short), WORDS)] + [long_[i : i + 1] for i in range(len(long_))]:
+        for i in long_:
+            ids = self._contract_long(self.byte[np.frombuffer(words[i], np.uint8)])
+            counts[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        for share in (short[i : i + WORDS] for i in range(0, len(short), WORDS)):
             data = np.frombuffer(b"".join([words[i] for i in share]), np.uint8)
             lengths = np.array([len(words[i]) for i in share])
             w = np.repeat(np.arange(len(share)), lengths)
             pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             start = pa.table([pa.array(x, pa.int32()) for x in (w, pos, self.byte[data])], ["w", "pos", "id"])  # noqa: F841
-            got = self.db.execute((_ALL if lengths[0] > LONG else _ONE) + _LAST).fetchnumpy()
+            got = self.db.execute(_ONE + _LAST).fetchnumpy()
             counts[share] = np.bincount(got["w"], minlength=len(share))
             parts.append((share, np.asarray(got["id"], np.int32)))
         flat, starts = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
@@ -153,6 +157,16 @@ class Coder:
             flat[_ranges(starts[share], counts[share])] = ids
         return flat, counts
 
+    def _contract_long(self, ids: np.ndarray) -> np.ndarray:
+        """The ids of one long word. A query keeps the rows of all its rounds, so it ends after STEP_ROWS rows or so and the next goes on."""
+        while True:
+            steps = max(1, STEP_ROWS // len(ids))
+            start = pa.table([pa.array(x, pa.int32()) for x in (np.zeros(len(ids), np.int64), np.arange(len(ids)), ids)], ["w", "pos", "id"])  # noqa: F841
+            got = self.db.execute(_ALL.format(steps=steps) + _LAST).fetchnumpy()
+            ids = np.asarray(got["id"], np.int32)
+            if got["step"][0] < steps:
+                return ids
+
     def encode(self, texts):
         """Yields (ids one after the other, how many each text has) for groups of texts, in order, of about IDS ids or one longer text. texts: an iterable of strings."""
         if len(self.words) > CACHE:
@@ -210,7 +224,7 @@ class Coder:
 
 def _coder(ranks: bytes, pattern: str) -> Coder:
     """One for each vocabulary and process: workers are used again for later tasks."""
-    held = sys.modules.setdefault("_loomframe_coders", types.ModuleType("_loomframe_coders")).__dict__.setdefault("coders", {})
+    held = sys.modules.setdefault(HELD, types.ModuleType(HELD)).__dict__.setdefault("coders", {})
     if (key := (hash(ranks), pattern)) not in held:
         held.clear()
         held[key] = Coder(ranks, pattern)

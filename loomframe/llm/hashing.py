@@ -9,12 +9,16 @@ lengths. Two different word sequences share a hash with a chance of about
 from __future__ import annotations
 
 import ctypes
+import gc
+import sys
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Name of the module that holds what a worker keeps for later tasks of one operator.
+HELD = "_loomframe_held"
 
 
 def trim() -> None:
@@ -25,6 +29,13 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def release() -> None:
+    """Drop what tasks of another operator left in this worker."""
+    if sys.modules.pop(HELD, None) is not None:
+        gc.collect()
+    trim()
+
+
 def _random(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64 - 1, n, dtype=np.uint64)
 
@@ -130,8 +141,8 @@ def minima(a: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def chunks(texts: pa.Array):
-    """Yields (first row, bytes, bounds) for pieces of a string array; null is empty."""
+def chunks(texts: pa.Array, size: int = CHUNK):
+    """Yields (first row, bytes, bounds) for pieces of a string array, of about size bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
@@ -144,7 +155,7 @@ def chunks(texts: pa.Array):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

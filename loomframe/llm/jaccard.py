@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import col, cut
 from .components import components
-from .hashing import mix, shingle_sets, trim
+from .hashing import mix, release, shingle_sets, trim
 from .ship import ship
 
 #: Shingles in a bucket or cell, about, and in what a task packs at once.
@@ -59,6 +59,7 @@ ship(__name__)
 
 def _fingerprints(n: int):
     def run(batches):
+        release()
         for batch in batches:
             size, f1, f2 = [], [], []
             for _, s in shingle_sets(batch.column(1), n):
@@ -98,6 +99,7 @@ def _pack(n: int, buckets: int):
         return _batch(out, [("bucket", pa.int64()), *[(x, pa.binary()) for x in ("ids", "sizes", "counts", "tokens")]])
 
     def run(batches):
+        release()
         ids, sizes, sets, held = [], [], [], 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -132,7 +134,7 @@ def _count(cells: int):
     """Of one bucket, the shingles that occur more than once go back to their documents, a row for each cell of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        trim()
+        release()
         bucket = table.column("bucket")[0].as_py()
         ids, sizes, counts, low = (_joined(table, x, t) for x, t in (("ids", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tokens", np.uint32)))
         order = np.argsort(low, kind="stable")
@@ -160,7 +162,7 @@ def _prefixes(percent: int):
     """Of one cell of documents, the adaptive prefixes: rows (token, id, size, repeated, need, place)."""
 
     def run(table: pa.Table) -> pa.Table:
-        trim()
+        release()
         ids, sizes, counts, low, level = (
             _joined(table, x, t) for x, t in (("ids", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tokens", np.uint32), ("levels", np.uint8))
         )
@@ -199,6 +201,7 @@ def _verify(n: int, percent: int):
     """Rows sorted by (hub, salt, role): each text of role 1 against the hub's texts before it."""
 
     def run(batches):
+        release()
         current, hubs = None, []
         for batch in batches:
             hub, salt, role, who = (batch.column(i).to_pylist() for i in range(4))

@@ -103,6 +103,34 @@ def op10_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_rendezvous_sharding, op4_warc_transactions, op5_pii_surrogates, op6_iso_media, op7_source_mixture, op8_bpe_duckdb, op9_toxicity_bigru, op10_rlz_substring_dedup)}
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(2, len(ws) - 3))) t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT r.start, e.b FROM r JOIN e ON r.node = e.a)
+        SELECT start AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n ON n.doc_id = start GROUP BY start""",
+    "op4_warc_transactions": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexed FROM pages),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS origin FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> origin THEN origin END AS refers_to
+        FROM o""",
+    "op10_rlz_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) t(i)),
+        d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM v) WHERE n > 1),
+        g AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM d, unnest(range(35)) t(k) GROUP BY doc_id),
+        k AS (SELECT w.doc_id, ws, coalesce(len(gone), 0) AS n_removed,
+                     CASE WHEN gone IS NULL THEN ws ELSE (SELECT coalesce(list(ws[i] ORDER BY i), []) FROM unnest(range(1, len(ws) + 1)) t(i) WHERE NOT list_contains(gone, i)) END AS kept
+              FROM w LEFT JOIN g ON w.doc_id = g.doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, text_of
-from .hashing import _FOLDED, chunks, mix, trim, words
+from .hashing import _FOLDED, chunks, mix, release, trim, words
 from .ship import ship
 
 WIDTH, STRIDE = 32, 16
@@ -40,8 +40,8 @@ HIDDEN, VECTOR, INPUT = 8, 4, 12
 EVIDENCE, VECTORS = 1 << 20, 1 << 12
 GRAMS = (4, 5)
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SEED = 12, 300, 128, 0.01, 0.05, 7
-#: Windows that are scored at once.
-WINDOWS = 4096
+#: Windows, and bytes of text, that are scored at once.
+WINDOWS, CHUNK = 4096, 1 << 19
 
 ship(__name__)
 
@@ -324,7 +324,7 @@ def scores(model: dict | None, texts: pa.Array) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
     out = np.zeros(len(texts))
-    for at, data, bounds in chunks(texts):
+    for at, data, bounds in chunks(texts, CHUNK):
         h, firsts, starts, ends = words(data, bounds, True)
         inverse, distinct, lengths, grams, offsets = _vocabulary(data, h, starts, ends)
         fixed = _fixed_inputs(model["evidence_words"][_index(distinct, EVIDENCE)], model["evidence_grams"][_index(grams, EVIDENCE)], lengths, offsets)
@@ -349,6 +349,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
 def _score(model):
     def run(batches):
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(model.value, batch.column(batch.num_columns - 1)))], [*batch.schema.names, "score"])
             trim()
@@ -366,6 +367,7 @@ def score(df: DataFrame, model: dict | None, key: str = "doc_id", text: str = "t
 
 def _accept(model, column: int, least: float):
     def run(batches):
+        release()
         for batch in batches:
             yield batch.filter(pa.array(scores(model.value, batch.column(column)) < least))
             trim()

@@ -5,14 +5,13 @@ import hashlib
 import re
 from collections import Counter
 
-import pytest
+from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
+import corpus_pipeline
+from loomframe.llm import mixture, toxicity
+from loomframe.llm import queries as Q
 
-from loomframe.llm import mixture, toxicity  # noqa: E402
-from loomframe.llm import queries as Q  # noqa: E402
-
-from .test_contracts import brute_components  # noqa: E402
+from .test_contracts import brute_components
 
 
 def test_pipeline_matches_brute_force(spark, sf):
@@ -62,5 +61,5 @@ def test_stages_keep_the_columns(spark, sf):
 
 
 def test_unit_is_even(spark):
-    got = [r[0] for r in spark.range(4000).select(mixture.unit(__import__("pyspark").sql.functions.col("id"), "s")).collect()]
+    got = [r[0] for r in spark.range(4000).select(mixture.unit(F.col("id"), "s")).collect()]
     assert all(0 <= x < 1 for x in got) and abs(sum(got) / 4000 - 0.5) < 0.02

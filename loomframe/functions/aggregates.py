@@ -148,3 +148,8 @@ def last_value(expr, ignore_nulls: bool = False) -> Column:
 def grouped(expr) -> Column:
     """Whether a row of a rollup leaves this column out."""
     return F.grouping(v(expr) if isinstance(expr, Column) else c(expr))
+
+
+def over(expr, window) -> Column:
+    """An aggregate or ranking over a window of this library, or of Spark."""
+    return window.apply(c(expr)) if hasattr(window, "apply") else c(expr).over(window)

@@ -255,7 +255,9 @@ class Frame:
         return Frame(p.agg(getattr(A, agg_fn)(F.col(value_col))))
 
     def count_rows(self) -> int:
-        return self.df.count()
+        from ..context import observed
+
+        return observed("count_rows", self.df.count)
 
     # Two frames.
     def join(self, other: Frame, on=None, left_on=None, right_on=None, how: str = "inner", strategy: str | None = None, prefix: str | None = None, suffix: str | None = None) -> Frame:
@@ -303,8 +305,10 @@ class Frame:
     # Results.
     def collect(self) -> Frame:
         """Computed and kept."""
+        from ..context import observed
+
         self.df = self.df.persist()
-        self.df.count()
+        observed("collect", self.df.count)
         return self
 
     def show(self, n: int = 8) -> None:

@@ -77,6 +77,32 @@ _SQL = {
     "sql_set_operations": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 0",
     "sql_casts": "SELECT p_partkey, CAST(floor(p_retailprice) AS INTEGER) AS whole, TRY_CAST(p_name AS INTEGER) AS nothing, CAST(p_size AS VARCHAR(10)) AS size_text FROM part",
     "sql_like_extract": "SELECT event_id, CAST(extract(HOUR FROM ts) AS BIGINT) AS hour, event_type LIKE 'p%' AS p FROM events WHERE event_type ILIKE '%U%'",
+    "clicks_by_type": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
+    "clicks_top_users": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    "clicks_by_hour": "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY date_trunc('hour', ts)",
+    "clicks_filtered": "SELECT count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE user_id = 7 OR (event_type = 'purchase' AND value > 50)",
+    "clicks_wide_sums": "SELECT " + ", ".join(f"round(sum(value + {i}), 3) AS s{i}" for i in range(20)) + " FROM events",
+    "clicks_error_rate": """
+        SELECT user_id, round(sum(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) / count(*), 6) AS rate FROM events GROUP BY user_id HAVING count(*) > 5""",
+    "clicks_hosts": "SELECT split_part(url, '/', 3) AS host, count(*) AS n, round(avg(length(html)), 3) AS size FROM pages GROUP BY split_part(url, '/', 3)",
+    "clicks_first_purchase": """
+        SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS first_view, min(CASE WHEN event_type = 'purchase' THEN ts END) AS first_purchase FROM events GROUP BY user_id""",
+    "store_sales_by_year": """
+        SELECT CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, o_orderpriority, count(*) AS n, round(sum(o_totalprice) / 1000, 1) AS thousands,
+               rank() OVER (PARTITION BY extract(YEAR FROM o_orderdate) ORDER BY count(*) DESC, o_orderpriority) AS place
+        FROM orders GROUP BY extract(YEAR FROM o_orderdate), o_orderpriority""",
+    "store_ratio_to_group": """
+        SELECT p_partkey, p_type, round(p_retailprice * 100.0 / sum(p_retailprice) OVER (PARTITION BY p_type), 6) AS share FROM part""",
+    "store_customers_in_both": """
+        SELECT count(*) AS n FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') t""",
+    "store_union_channels": """
+        SELECT channel, count(*) AS n, round(sum(amount), 2) AS total FROM (
+            SELECT 'order' AS channel, o_totalprice AS amount FROM orders WHERE o_totalprice < 20000 UNION ALL SELECT 'event', value FROM events WHERE value IS NOT NULL) s GROUP BY channel""",
+    "talks_turns": "SELECT conv_id, count(*) AS turns, max(turn) AS last_turn, sum(length(text)) AS characters FROM conversations GROUP BY conv_id",
+    "talks_replies": """
+        SELECT a.conv_id, a.turn, a.role AS asked, b.role AS answered FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role <> b.role""",
+    "labels_joined": """
+        SELECT lang, count(*) AS n, sum(quality) AS good, sum(toxic) AS bad FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id GROUP BY lang""",
 }
 for _name, _text in _SQL.items():
     portable(_name, _text)

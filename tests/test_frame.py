@@ -175,3 +175,15 @@ def test_udfs(small):
 
     rows = small.filter(col("id").not_null()).select("id", t=udf.func("long")(slow)("id"), f=fails("id")).to_pylist()
     assert {r["id"]: (r["t"], r["f"]) for r in rows} == {1: (10, None), 2: (20, None), 4: (40, None)}
+
+
+def test_subscribers_hear_of_results(small):
+    from loomframe import context
+
+    heard = []
+    context.attach_subscriber("test", heard.append)
+    small.count_rows()
+    small.select("id").collect()
+    context.detach_subscriber("test")
+    small.count_rows()
+    assert [h["what"] for h in heard] == ["count_rows", "collect"] and all(h["rows"] == 4 for h in heard)

@@ -14,9 +14,22 @@ def _present(x) -> Column:
 
 @public
 def value_counts(list_expr):
-    """Map of each value to how often it occurs, in order of first occurrence."""
-    a = _present(list_expr)
-    return F.map_from_entries(F.transform(F.array_distinct(a), lambda e: F.struct(e, F.size(F.filter(a, lambda x: x == e)).cast("long"))))
+    """Map of each value to how often it occurs. Values are sorted once and counted by their runs."""
+    a = F.array_sort(_present(list_expr))
+    n = F.size(a)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+
+    def counted(pair):
+        return F.transform(
+            F.filter(pair.getField("places"), lambda i: (i == 0) | (F.get(pair.getField("a"), i) != F.get(pair.getField("a"), i - 1))),
+            lambda i: F.struct(F.get(pair.getField("a"), i).alias("value"), i.alias("at")),
+        )
+
+    # The sorted list and the places are made once a row, in a list of one.
+    runs = F.flatten(F.transform(F.array(F.struct(a.alias("a"), places.alias("places"))), counted))
+    ends = lambda r: F.transform(r, lambda x, j: F.struct(x.getField("value"), (F.coalesce(F.get(r, j + 1).getField("at"), n) - x.getField("at")).cast("long")))
+    pairs = F.flatten(F.transform(F.array(F.struct(runs.alias("r"))), lambda s: ends(s.getField("r"))))
+    return F.when(n > 0, F.map_from_entries(pairs)).otherwise(F.when(c(list_expr).isNotNull(), F.map_from_entries(F.filter(pairs, lambda _: F.lit(False)))))
 
 
 @public

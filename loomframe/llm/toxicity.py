@@ -193,7 +193,9 @@ def _table(texts: list[str]):
     for t in texts:
         data = np.frombuffer((t or "").encode(), np.uint8)
         h, _, starts, ends = words(data, np.array([0, len(data)]), True)
-        out.append(_vocabulary(data, h, starts, ends))
+        inverse, distinct, lengths, grams, offsets = _vocabulary(data, h, starts, ends)
+        # Tables are indexed by low bits.
+        out.append((inverse.astype(np.int32), distinct.astype(np.uint32), lengths.astype(np.int32), grams.astype(np.uint32), offsets.astype(np.int32)))
     return out
 
 
@@ -234,7 +236,7 @@ def train(texts: list[str], labels: list[int]) -> dict | None:
         own = inverse[s : s + WIDTH]
         sizes = np.diff(offsets)[own]
         at = np.repeat(offsets[own], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ready.append((fixed[d][own], _index(distinct[own], VECTORS), _index(grams[at], VECTORS), sizes))
+        ready.append((fixed[d][own], _index(distinct[own], VECTORS).astype(np.int32), _index(grams[at], VECTORS).astype(np.int32), sizes))
     p = new_parameters(rng)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     target, trust = (np.array([c[i] for c in chosen], np.float32) for i in (2, 3))
@@ -337,14 +339,18 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 1500, clean_rows: int = 2500, sample_bytes: int = 200_000) -> dict | None:
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = 1200, clean_rows: int = 2000, sample_bytes: int = 200_000) -> dict | None:
     """A model of labelled rows that aren't held out, at most toxic_rows and clean_rows of them."""
     rows = labels.select(col(key).alias("key"), col(label).alias("label")).filter(~held_out(F.col("key")) & F.col("key").isNotNull()).distinct()
     order = F.xxhash64("key")
     picked = rows.filter("label = 1").orderBy(order, "key").limit(toxic_rows).union(rows.filter("label = 0").orderBy(order, "key").limit(clean_rows))
     texts = df.select(col(key).alias("key"), text_of(text).alias("text")).filter(F.octet_length("text") <= sample_bytes)
     sample = texts.join(F.broadcast(picked), "key").groupBy("key", "label").agg(F.min("text").alias("text")).orderBy("key", "label").collect()
-    return train([r.text for r in sample], [int(r.label) for r in sample])
+    given, known = [r.text for r in sample], [int(r.label) for r in sample]
+    del sample
+    model = train(given, known)
+    trim()
+    return model
 
 
 def _score(model):

@@ -66,10 +66,12 @@ PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}0-9]){_TITLE}(?: \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}){{1,3}}(?![\p{{L}}])",
 }
-_SECRET = r"""(?i:(?<=password=)|(?<=passwd=)|(?<=token=)|(?<=secret=)|(?<=api_key=)|(?<=token = ["'])|(?<=secret = ["'])|(?<=api_key = ["'])|(?<=password = ["']))[A-Za-z0-9_/+.-]{8,128}"""
+#: What stands before a secret, in any case.
+_ASSIGNED = ("password=", "passwd=", "token=", "secret=", "api_key=", """token = ["']""", """secret = ["']""", """api_key = ["']""", """password = ["']""")
+_SECRET = rf"(?i:{'|'.join(f'(?<={a})' for a in _ASSIGNED)})[A-Za-z0-9_/+.-]{{8,128}}"
 
 #: What every entity contains: texts without any of it are settled by these cheap tests.
-_HINTS = ("@", "AKIA", "ASIA", "assword", "asswd", "oken", "ecret", "pi_key", "ASSWORD", "ASSWD", "OKEN", "ECRET", "PI_KEY")
+_HINTS = ("@", "AKIA", "ASIA")
 _NAMED = rf"{_TITLE} \p{{Lu}}"
 PATTERN = "|".join([*(f"(?:{p})" for p in PATTERNS.values()), _SECRET])
 
@@ -78,7 +80,7 @@ def _maybe(text: Column) -> Column:
     out = text.rlike("[0-9]{2}|[0-9][.][0-9]")
     for hint in _HINTS:
         out = out | text.contains(hint)
-    return out | text.rlike(_NAMED)
+    return out | text.rlike(f"(?i){'|'.join(_ASSIGNED)}") | text.rlike(_NAMED)
 
 
 def _whole(text: Column, pattern: str) -> Column:

@@ -5,7 +5,10 @@ and card numbers, social security numbers, names led by a title, access keys
 and secrets that are assigned. Texts without a match are left as they are.
 
 Replacement. Every entity has a canonical form (case, separators, titles
-aside), so spellings of one entity share one surrogate (coreference). The
+aside), so spellings of one entity share one surrogate (coreference): one
+number or address in the spelling's separators and case, one family name with
+a given name for each gender its titles name. What spellings tell about the
+entity (the country code, the gender) is gathered before it is drawn. The
 surrogate is drawn from SHA-512 of (key, type, canonical form, attempt) and
 written in the entity's own format: digits for digits, letters of the same
 case and script for letters, separators as they were. Names keep their title
@@ -14,8 +17,9 @@ first digit and a valid check digit; phone numbers keep the country code and
 a fictional 555; e-mail domains end in the reserved .example; social security
 numbers begin with 9, which is never issued.
 
-Collisions. Surrogates that two entities share, or that some text contains as
-an entity, are drawn again with the next attempt until there are none; after
+Collisions. Surrogates that two entities share in any of their spellings, or
+that some text contains as an entity, are drawn again with the next attempt
+until there are none; after
 RELAXED attempts the format grows by eight digits, so this ends even where the
 format has fewer values than there are entities.
 
@@ -29,6 +33,8 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +54,34 @@ GIVEN = {
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Максим Олег".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Ксения Мария Ольга Софья".split(),
     ("cyrillic", "n"): "Саша Женя Валя Слава Шура".split(),
+    ("greek", "m"): "Ανδρέας Βασίλης Γιώργος Δημήτρης Κώστας Λευτέρης Μιχάλης Νίκος Πέτρος Σπύρος".split(),
+    ("greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Κατερίνα Μαρία Νίκη Σοφία".split(),
+    ("greek", "n"): "Χρυσή Ρένα Αγάπη Φώτη Τζένη".split(),
+    ("armenian", "m"): "Արամ Գևորգ Դավիթ Հայկ Կարեն Նարեկ Տիգրան Վահան".split(),
+    ("armenian", "f"): "Աննա Գայանե Լիլիթ Մարիամ Նարինե Սոնա Շուշան Անահիտ".split(),
+    ("armenian", "n"): "Արևիկ Արշալույս Հույս Լույս Սիրուն".split(),
+}
+#: Capitals, small consonants and small vowels of family names, by script.
+LETTERS = {
+    "latin": ("BDFGHKLMNPRSTVWZ", "bdfghklmnprstvwz", "aeiou"), "cyrillic": ("БВГДЖЗКЛМНПРСТФХ", "бвгджзклмнпрстфх", "аеиоу"),
+    "greek": ("ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧ", "βγδζθκλμνξπρστφχ", "αειου"), "armenian": ("ԲԳԴԶԹԼԽԿՀՄՆՊՍՎՏՐ", "բգդզթլխկհմնպսվտր", "աեիու"),
 }
+
+
+def _letters(script: str) -> tuple[str, str, str]:
+    """Capitals and small letters of a script with two cases, by their names in Unicode; which are vowels isn't asked."""
+    ranges = ((0x10A0, 0x1100), (0x13A0, 0x1400), (0x1C90, 0x1CC0), (0x2C00, 0x2D30), (0xAB70, 0xABC0), (0x10400, 0x10600), (0x10C80, 0x10D00), (0x118A0, 0x118E0), (0x16E40, 0x16E80), (0x1E900, 0x1E944))
+    own = [chr(c) for a, b in ranges for c in range(a, b) if unicodedata.name(chr(c), "").startswith(script.replace("_", " ").upper())]
+    upper = "".join(c for c in own if unicodedata.category(c) == "Lu" and len(c.lower()) == 1 and c.lower() in own)
+    return upper, upper.lower(), upper.lower()
+
+
+# The other scripts with two cases; their given names are made of letters as family names are.
+for _script in ("georgian", "cherokee", "coptic", "glagolitic", "deseret", "osage", "old_hungarian", "warang_citi", "medefaidrin", "adlam"):
+    LETTERS[_script] = _letters(_script)
+    _upper, _lower, _ = LETTERS[_script]
+    for _nth, _gender in enumerate("mfn"):
+        GIVEN[_script, _gender] = [_upper[i] + "".join(_lower[(i * k + _nth + 3 * k) % len(_lower)] for k in (5, 7, 11)) for i in range(_nth, len(_upper), 3)]
 #: Alphabets: a letter becomes one of its own.
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ",
@@ -150,48 +183,61 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(10 - F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10, F.lit(10)).cast("string")
 
 
-def _given(script: str) -> Column:
+def _by_script(values: dict) -> Column:
+    out = values["latin"]
+    for script, value in values.items():
+        if script != "latin":
+            out = F.when(F.col("form").rlike(rf"\p{{Is{script.title()}}}"), value).otherwise(out)
+    return out
+
+
+def _given() -> Column:
     def of(gender):
-        names = GIVEN[script, gender]
-        return F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(0), F.lit(len(names))) + 1)
+        names = _by_script({s: F.array(*map(F.lit, GIVEN[s, gender])) for s in LETTERS})
+        return F.element_at(names, F.pmod(_byte(0), F.size(names)) + 1)
 
-    return F.when(F.col("bare").isin(*MALE), of("m")).when(F.col("bare").isin(*FEMALE), of("f")).otherwise(of("n"))
+    return F.when(F.col("gender") == "m", of("m")).when(F.col("gender") == "f", of("f")).otherwise(of("n"))
 
 
-def _family(script: str) -> Column:
+def _family() -> Column:
     """Three syllables and a consonant: two million family names a script."""
-    first, rest, vowel = {"latin": ("BDFGHKLMNPRSTVWZ", "bdfghklmnprstvwz", "aeiou"), "cyrillic": ("БВГДЖЗКЛМНПРСТФХ", "бвгджзклмнпрстфх", "аеиоу")}[script]
+    first, rest, vowel = (_by_script({s: F.lit(x[i]) for s, x in LETTERS.items()}) for i in range(3))
     return F.concat(*[_pick(x, _byte(i + 1)) for i, x in enumerate((first, vowel, rest, vowel, rest, vowel, rest))])
 
 
+def _gender(title: Column) -> Column:
+    bare = F.regexp_replace(title, r"\.$", "")
+    return F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n")
+
+
 def draw(df: DataFrame, key: str) -> DataFrame:
-    """df: (kind, canon, attempt, form). Adds ``surrogate``: the replacement of form, in its own format."""
+    """df: (kind, canon, attempt, form, code, gender). Adds ``surrogate``: the replacement of form, in its own format. Forms of one canon, code and gender get one surrogate, title, case and separators aside."""
     form, swapped = F.col("form"), F.col("swapped")
-    added = ("stream", "bytes", "swapped", "digits", "body", "code", "title", "bare", "written")
+    added = ("stream", "bytes", "swapped", "digits", "body", "title", "written")
     stream = F.sha2(F.concat_ws("\u0000", F.lit(key), "kind", "canon", F.col("attempt").cast("string")), 512)
     each = lambda i: F.conv(F.substring(F.col("stream"), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
     rows = df.withColumn("stream", stream).withColumn("bytes", F.transform(F.sequence(F.lit(0), F.lit(63)), each))
     rows = rows.withColumns(
         {
-            "swapped": _swapped(form), "digits": F.regexp_replace(form, "[^0-9]", ""), "code": F.regexp_extract(form, r"^\+[0-9]{1,3}(?=[ .(-])", 0),
+            "swapped": _swapped(form), "digits": F.regexp_replace(form, "[^0-9]", ""),
             "title": F.regexp_extract(form, rf"^({_TITLE}) ", 1),
         }
     )
-    rows = rows.withColumns({"bare": F.regexp_replace("title", r"\.$", ""), "body": F.concat(F.substring("digits", 1, 1), F.substring(F.regexp_replace(swapped, "[^0-9]", ""), F.lit(2), F.length("digits") - 2))})
+    rows = rows.withColumns({"body": F.concat(F.substring("digits", 1, 1), F.substring(F.regexp_replace(swapped, "[^0-9]", ""), F.lit(2), F.length("digits") - 2))})
     octets = F.concat_ws(".", (_byte(0) % 223 + 1).cast("string"), *[_byte(i).cast("string") for i in (1, 2, 3)])
-    phone = F.concat("code", F.substring(swapped, F.length("code") + 1, F.length(form)))
-    phone = F.when(form.rlike(r"555[ .-]?[0-9]{4}$"), F.regexp_replace(phone, r"[0-9]{3}([ .-]?[0-9]{4})$", "555$1")).otherwise(phone)
+    number = F.concat("code", F.substring(F.regexp_replace(swapped, "[^0-9]", ""), F.length("code") + 1, F.length("digits")))
+    number = F.when(F.col("digits").rlike("555[0-9]{4}$"), F.regexp_replace(number, "[0-9]{3}([0-9]{4})$", "555$1")).otherwise(number)
     several = F.length(form) - F.length(F.regexp_replace(form, " ", "")) > 1
-    named = lambda s: F.concat("title", F.lit(" "), F.when(several, F.concat(_given(s), F.lit(" "))).otherwise(F.lit("")), _family(s))
+    named = F.concat("title", F.lit(" "), F.when(several, F.concat(_given(), F.lit(" "))).otherwise(F.lit("")), _family())
     kind = F.col("kind")
     written = (
         F.when(kind == "email", F.regexp_replace(swapped, r"\.[A-Za-z]+$", ".example"))
         .when(kind == "ipv4", octets)
         .when(kind == "card", _digits_into(form, F.concat("body", _check_digit(F.col("body")))))
-        .when(kind == "phone", phone)
+        .when(kind == "phone", _digits_into(form, number))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(swapped, F.lit(2), F.length(form))))
         .when(kind == "access_key", F.concat(F.substring(form, 1, 4), F.substring(swapped, F.lit(5), F.length(form))))
-        .when(kind == "name", F.when(form.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin")))
+        .when(kind == "name", named)
         .when(form.rlike("^[0-9a-f]+$"), F.substring(F.concat("stream", "stream"), F.lit(1), F.length(form)))
         .otherwise(swapped)
     )
@@ -202,20 +248,27 @@ def draw(df: DataFrame, key: str) -> DataFrame:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities: (entity), distinct. Returns (entity, kind, surrogate), no two canonical forms sharing a surrogate."""
-    e = cut(entities.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "entities")
+    seen = entities.withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity")))
+    name, code = F.col("kind") == "name", F.regexp_extract("entity", r"^\+([0-9]{1,3})(?=[ .(-])", 1)
+    seen = seen.withColumn("code", F.when(F.col("kind") == "phone", code).otherwise("")).withColumn("gender", F.when(name, _gender(F.regexp_extract("entity", rf"^({_TITLE}) ", 1))).otherwise("n"))
+    # What all spellings of an entity tell: its country code, and its gender where the other titles agree.
+    told = seen.groupBy("kind", "canon").agg(F.max_by("code", F.length("code")).alias("code"), F.array_remove(F.collect_set("gender"), "n").alias("told"))
+    gender = F.when((F.col("gender") == "n") & (F.size("told") == 1), F.element_at("told", 1)).otherwise(F.col("gender"))
+    e = cut(seen.drop("code").join(told, ["kind", "canon"]).withColumn("gender", gender).drop("told"), "entities")
     drawn = lambda df: draw(df, key).withColumn("drawn", canonical(F.col("kind"), F.col("surrogate"))).drop("surrogate")
-    # One spelling stands for the canonical form while collisions are looked for.
-    forms = cut(drawn(e.groupBy("kind", "canon").agg(F.min("entity").alias("form")).withColumn("attempt", F.lit(0))), "drawn")
+    # One spelling of each gender stands for the others while collisions are looked for.
+    forms = cut(drawn(e.groupBy("kind", "canon", "code", "gender").agg(F.min("entity").alias("form")).withColumn("attempt", F.lit(0))), "drawn")
     real = e.select("kind", F.col("canon").alias("drawn")).distinct().withColumn("real", F.lit(True))
     while True:
-        same = Window.partitionBy("kind", "drawn").orderBy("attempt", "canon")
-        ranked = forms.withColumn("nth", F.row_number().over(same)).join(real, ["kind", "drawn"], "left")
-        clashes = cut(ranked.withColumn("again", (F.col("nth") > 1) | F.col("real").isNotNull()).drop("nth", "real"), "ranked")
+        same, own = Window.partitionBy("kind", "drawn").orderBy("attempt", "canon"), Window.partitionBy("kind", "canon")
+        ranked = forms.withColumn("nth", F.dense_rank().over(same)).join(real, ["kind", "drawn"], "left")
+        again = F.max((F.col("nth") > 1) | F.col("real").isNotNull()).over(own)
+        clashes = cut(ranked.withColumn("again", again).drop("nth", "real"), "ranked")
         if not clashes.filter("again").limit(1).count():
             break
         redrawn = drawn(clashes.filter("again").withColumn("attempt", F.col("attempt") + 1).drop("drawn", "again"))
         forms = cut(clashes.filter("not again").drop("again").unionByName(redrawn), "drawn")
-    chosen = forms.select("kind", "canon", "attempt")
+    chosen = forms.select("kind", "canon", "attempt").distinct()
     return draw(e.join(chosen, ["kind", "canon"]).withColumn("form", F.col("entity")), key).select("entity", "kind", "surrogate")
 
 

@@ -186,6 +186,32 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len({r.surrogate for r in got}) == len(got) == 8000 and not {r.surrogate for r in got} & {r.entity for r in got}
 
 
+def test_pii_spellings_share_a_surrogate(spark):
+    """A number is one number in all its spellings, and no two entities share a surrogate in any of theirs."""
+    bare = lambda s: re.sub("[^0-9]", "", s)
+    phones = [f"{a}{i % 900 + 100}{b}{i // 900 + 200}{c}{(i * 37) % 9000 + 1000}" for i in range(2000) for a, b, c in (("+1 (", ") ", "-"), ("+1", "", ""))]
+    titled = [f"{t} Anna {'BDFG'[i % 4]}{'aeiou'[i // 4 % 5]}{'klmn'[i // 20 % 4]}{'aeiou'[i // 80]}" for i in range(400) for t in ("Mr", "Mrs.", "Dr", "Frau")]
+    got = pii.surrogates(spark.createDataFrame([(x,) for x in phones + titled + ["+1 (366) 555-9807", "+13665559807", "Dr Jan Meier", "Herr Jan Meier"]], "entity string").distinct(), "k").collect()
+    to = {r.entity: r.surrogate for r in got}
+    for one, other in [("+1 (366) 555-9807", "+13665559807"), *zip(phones[::2], phones[1::2], strict=True)]:
+        assert bare(to[one]) == bare(to[other]) != bare(one) and to[one].startswith("+1 (") and to[other].startswith("+1")
+    assert to["+13665559807"][5:8] == "555" and to["Dr Jan Meier"].split()[1:] == to["Herr Jan Meier"].split()[1:]
+    owners = {}
+    for entity, surrogate in to.items():
+        canon = lambda s: bare(s) or s.lower().split(" ", 1)[1]
+        owners.setdefault(canon(surrogate), set()).add(canon(entity))
+    assert all(len(o) == 1 for o in owners.values()) and not set(owners) & {canon(x) for x in to}
+
+
+def test_pii_names_keep_their_script(spark):
+    import unicodedata
+
+    names = ["Mr Γιάννης Παππάς", "Dr Անի Սարգսյան", "Mx \u2c80\u2c81\u2c83 \u2c84\u2c85", "Mrs \U00010400\U00010428\U00010429", "Prof \u1c90\u10d0\u10d1", "Господин Иван Петров", "Mr Jan Meier"]
+    for r in pii.surrogates(spark.createDataFrame([(n,) for n in names], "entity string"), "k").collect():
+        script = lambda s: {unicodedata.name(c).split()[0] for c in s.split(" ", 1)[1] if c.isalpha()}
+        assert r.surrogate != r.entity and script(r.surrogate) == script(r.entity) and r.surrogate.count(" ") == r.entity.count(" ")
+
+
 def test_iso_media(odd):
     df, rows = odd
     got = isomedia.inspect(isomedia.write_media(df), with_payload=True).collect()

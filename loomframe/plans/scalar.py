@@ -112,7 +112,16 @@ def string_distances(t):
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents WHERE doc_id % 10 = 0""")
 def string_normalize(t):
-    return t.documents.filter("doc_id % 10 = 0").select("doc_id", normalized=col("text").normalize(remove_punct=True, lowercase=True, white_space=True))
+    return _normalized(t.documents.filter("doc_id % 10 = 0"))
+
+
+def _normalized(documents):
+    return documents.select("doc_id", normalized=col("text").normalize(remove_punct=True, lowercase=True, white_space=True))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents""")
+def string_normalize_whole(t):
+    return _normalized(t.documents)
 
 
 @query("SELECT * FROM (VALUES ('helloWorldFoo', 'hello_world_foo', 'HELLO_WORLD_FOO', 'hello-world-foo', 'HELLO-WORLD-FOO', 'Hello World Foo', 'HelloWorldFoo', 'H464')) v(camel, snake, upper_snake, kebab, upper_kebab, title, upper_camel, soundex)")
@@ -202,6 +211,18 @@ def list_basic(t):
     )
 
 
+@query("""SELECT doc_id, array_to_string(w, '|') AS list_join, len(w) AS list_count, list_sort(w) AS list_sort, list_sort(list_distinct(w)) AS list_distinct, list_contains(w, 'the') AS list_contains, w[1:3] AS slice, w[2] AS get, w[-1] AS get_last,
+          list_append(w, 'end') AS list_append, list_transform(w, lambda x: reverse(x)) AS list_map, list_filter(w, lambda x: length(x) > 10) AS list_filter, len(list_distinct(w)) AS list_count_distinct
+          FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
+def list_basic_whole(t):
+    w = col("w")
+    return t.documents.select("doc_id", w=col("text").split(" ")).select(
+        "doc_id", list_join=w.list_join("|"), list_count=w.list_count(), list_sort=w.list_sort(), list_distinct=w.list_distinct().list_sort(), list_contains=w.list_contains("the"), slice=Expr(L.slice(w.column, 0, 3)), get=Expr(L.get(w.column, 1)),
+        get_last=Expr(L.get(w.column, -1)), list_append=Expr(L.list_append(w.column, F.lit("end"))), list_map=Expr(L.list_map(w.column, F.reverse)), list_filter=Expr(L.list_filter(w.column, lambda x: F.length(x) > 10)),
+        list_count_distinct=w.list_count_distinct(),
+    )
+
+
 @query("""SELECT vec_id, round(list_sum(embedding[1:8]::DOUBLE[]), 6) AS list_sum, round(list_avg(embedding[1:8]::DOUBLE[]), 6) AS list_mean, list_min(embedding) AS list_min, list_max(embedding) AS list_max,
           list_bool_and([x > 0 FOR x IN embedding[1:2]]) AS list_bool_and, list_bool_or([x > 0 FOR x IN embedding[1:2]]) AS list_bool_or, flatten([embedding[1:1], embedding[2:2]]) AS list_flatten, [embedding[1:2], embedding[3:4]] AS chunk,
           range(label % 4) AS seq, [label, label + 1] AS to_list, list_reverse_sort([label, 3, 5]) AS list_sort_desc FROM embeddings""")
@@ -345,10 +366,19 @@ def model_functions(t):
 
 @query("SELECT doc_id, text AS back FROM documents WHERE doc_id % 20 = 0")
 def tokenizer_round_trip(t):
+    return _round_trip(t.documents.filter("doc_id % 20 = 0"))
+
+
+@query("SELECT doc_id, text AS back FROM documents")
+def tokenizer_round_trip_whole(t):
+    return _round_trip(t.documents)
+
+
+def _round_trip(documents):
     import public_tokenizers as p
 
     path = p.path("byte_bpe_50k.tiktoken")
-    return t.documents.filter("doc_id % 20 = 0").select("doc_id", back=Expr(L.tokenize_decode(L.tokenize_encode("text", path, p.PATTERN), path, p.PATTERN)))
+    return documents.select("doc_id", back=Expr(L.tokenize_decode(L.tokenize_encode("text", path, p.PATTERN), path, p.PATTERN)))
 
 
 @query("SELECT r_regionkey, r_name || chr(10) AS said FROM region")

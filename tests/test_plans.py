@@ -59,3 +59,16 @@ def test_catalog_and_table_functions(spark, sf, tmp_path):
     s = Session(spark)
     assert s.sql(f"SELECT count(*) AS n FROM read_parquet('{sf}/region.parquet')").to_pylist() == [{"n": 5}]
     assert s.sql(f"SELECT count(*) AS n FROM '{sf}/nation.parquet'").to_pylist() == [{"n": 25}]
+
+
+@pytest.mark.parametrize("name", ["string_normalize_whole", "list_basic_whole", "tokenizer_round_trip_whole"])
+def test_whole_queries_keep_every_document(spark, sf, name):
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(QUERIES[name](spark, sf)) == ids(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_whole_lists_reach_the_last_word(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(9))
+    spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = QUERIES["list_basic_whole"](spark, str(tmp_path)).collect()
+    assert r.list_join == text.replace(" ", "|") and r.list_append == [*text.split(), "end"] and r.list_map == [w[::-1] for w in text.split()]

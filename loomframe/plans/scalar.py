@@ -265,32 +265,64 @@ def hashes_and_ids(t):
     return t.documents.select("doc_id", hash=x.hash(), sha=x.hash(hash_function="sha1"), minhash=x.minhash(16, 3), simhash=x.simhash(), id4=Expr(L.uuid()), id7=Expr(L.uuid(7)), number=Expr(L.random_int(1, 6, 3)), at=Expr(L.monotonically_increasing_id()))
 
 
+def _pairs(t, queries):
+    """Every vector with every query."""
+    return t.embeddings.select(i=col("vec_id"), x=col("embedding")).join(t.embeddings.filter(queries).select(j=col("vec_id"), y=col("embedding")), how="cross")
+
+
 _E = "(SELECT a.vec_id AS i, b.vec_id AS j, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b)"
+#: The query set of the _whole searches.
+_EVERY = "vec_id % 50 = 0"
 
 
 @query(f"""SELECT i, j, round(list_dot_product(x, y), 6) AS dot_product, round(list_cosine_similarity(x, y), 6) AS cosine_similarity, round(list_cosine_distance(x, y), 6) AS cosine_distance, round(list_distance(x, y), 6) AS euclidean_distance,
            CAST(bit_count(xor(i, j)) AS INTEGER) AS hamming_distance FROM {_E}""")
 def vector_distances(t):
-    a, b = t.embeddings.select(i=col("vec_id"), x=col("embedding")), t.embeddings.filter("vec_id < 5").select(j=col("vec_id"), y=col("embedding"))
+    return _distances(_pairs(t, "vec_id < 5"))
+
+
+@query(f"""SELECT i, j, round(list_dot_product(x, y), 6) AS dot_product, round(list_cosine_similarity(x, y), 6) AS cosine_similarity, round(list_cosine_distance(x, y), 6) AS cosine_distance, round(list_distance(x, y), 6) AS euclidean_distance,
+           CAST(bit_count(xor(i, j)) AS INTEGER) AS hamming_distance FROM {_E.replace('vec_id < 5', _EVERY)}""")
+def vector_distances_whole(t):
+    return _distances(_pairs(t, _EVERY))
+
+
+def _distances(pairs):
     x, y = col("x"), col("y")
     each = {n: getattr(x, n)(y).round(6) for n in ("dot_product", "cosine_similarity", "cosine_distance", "euclidean_distance")}
-    return a.join(b, how="cross").select("i", "j", **each, hamming_distance=col("i").hamming_distance(col("j")))
+    return pairs.select("i", "j", **each, hamming_distance=col("i").hamming_distance(col("j")))
 
 
 @query(f"""SELECT i, j, round((SELECT corr(u, v) FROM (SELECT unnest(x) AS u, unnest(y) AS v)), 6) AS pearson_correlation, 1.0::DOUBLE AS jaccard_similarity FROM {_E.replace('vec_id < 5', 'vec_id < 2')}""")
 def vector_correlations(t):
-    a, b = t.embeddings.select(i=col("vec_id"), x=col("embedding")), t.embeddings.filter("vec_id < 2").select(j=col("vec_id"), y=col("embedding"))
+    return _correlations(_pairs(t, "vec_id < 2"))
+
+
+@query(f"""SELECT i, j, round((SELECT corr(u, v) FROM (SELECT unnest(x) AS u, unnest(y) AS v)), 6) AS pearson_correlation, 1.0::DOUBLE AS jaccard_similarity FROM {_E.replace('vec_id < 5', _EVERY)}""")
+def vector_correlations_whole(t):
+    return _correlations(_pairs(t, _EVERY))
+
+
+def _correlations(pairs):
     x, y = col("x"), col("y")
-    return a.join(b, how="cross").select("i", "j", pearson_correlation=x.pearson_correlation(y).round(6), jaccard_similarity=x.jaccard_similarity(y))
+    return pairs.select("i", "j", pearson_correlation=x.pearson_correlation(y).round(6), jaccard_similarity=x.jaccard_similarity(y))
 
 
 @query("""SELECT i, j, d FROM (SELECT i, j, round(list_distance(x, y), 6) AS d, row_number() OVER (PARTITION BY j ORDER BY round(list_distance(x, y), 6), i) AS n FROM (
           SELECT a.vec_id AS i, b.vec_id AS j, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b)) WHERE n <= 3""")
 def vector_top_k(t):
+    return _nearest(_pairs(t, "vec_id < 5"))
+
+
+@query(f"""SELECT i, j, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY j ORDER BY d, i) AS n FROM (SELECT i, j, round(list_distance(x, y), 6) AS d FROM {_E.replace('vec_id < 5', _EVERY)})) WHERE n <= 3""")
+def vector_top_k_whole(t):
+    return _nearest(_pairs(t, _EVERY))
+
+
+def _nearest(pairs):
     from ..operators.window import Window
 
-    a, b = t.embeddings.select(i=col("vec_id"), x=col("embedding")), t.embeddings.filter("vec_id < 5").select(j=col("vec_id"), y=col("embedding"))
-    rows = a.join(b, how="cross").select("i", "j", d=col("x").euclidean_distance(col("y")).round(6))
+    rows = pairs.select("i", "j", d=col("x").euclidean_distance(col("y")).round(6))
     return rows.with_column("n", Window().partition_by("j").order_by("d", "i").apply(F.row_number())).filter("n <= 3").exclude("n")
 
 

@@ -72,3 +72,9 @@ def test_whole_lists_reach_the_last_word(spark, tmp_path):
     spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     (r,) = QUERIES["list_basic_whole"](spark, str(tmp_path)).collect()
     assert r.list_join == text.replace(" ", "|") and r.list_append == [*text.split(), "end"] and r.list_map == [w[::-1] for w in text.split()]
+
+
+@pytest.mark.parametrize("name", ["vector_top_k_whole", "vector_distances_whole", "vector_correlations_whole"])
+def test_whole_searches_take_every_query(spark, sf, name):
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.j for r in QUERIES[name](spark, sf).select("j").distinct().collect()} == {i for i in ids if i % 50 == 0} > {0}

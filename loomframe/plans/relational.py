@@ -160,6 +160,12 @@ def aggregate_product(t):
     return t.customer.filter("c_custkey % 20 = 0").groupby("c_nationkey").agg(A.product(lit(1) + col("c_nationkey") % 2).alias("p"))
 
 
+@query("SELECT c_nationkey, product(1 - 2 * (c_custkey % 2)) AS p FROM customer GROUP BY c_nationkey")
+def aggregate_product_whole(t):
+    # Factors of 1 and -1: every row counts, and no number of rows overflows.
+    return t.customer.groupby("c_nationkey").agg(A.product(lit(1) - lit(2) * (col("c_custkey") % 2)).alias("p"))
+
+
 @query()
 def aggregate_approximate(t):
     return t.lineitem.groupby("l_returnflag").agg(A.approx_count_distinct("l_partkey").alias("parts"), A.approx_percentiles("l_quantity", [0.25, 0.5, 0.75]).alias("quartiles"), A.any_value("l_linestatus").alias("any"))
@@ -235,6 +241,12 @@ for _name, _op in {"union": "UNION", "union_all": "UNION ALL", "intersect": "INT
     _f.__name__ = f"set_{_name}"
     query(f"{_A} {_op} {_B}")(_f)
 
+    def _f(t, name=_name):
+        return getattr(t.customer.select(k=col("c_nationkey")), name)(t.supplier.select(k=col("s_nationkey")))
+
+    _f.__name__ = f"set_{_name}_whole"
+    query(f"SELECT c_nationkey AS k FROM customer {_op} {_B}")(_f)
+
 
 @query("SELECT n_name, n_regionkey, NULL AS r_name FROM nation UNION ALL BY NAME SELECT r_name, r_regionkey AS n_regionkey FROM region")
 def set_union_all_by_name(t):

@@ -378,10 +378,19 @@ def mime_types(t):
 
 @query("SELECT p_partkey, 4 AS height, 4 AS width, 3 AS channel, 'L' AS gray, 2 AS small, true AS same FROM part WHERE p_partkey <= 20")
 def images(t):
+    return _images(t.part.filter("p_partkey <= 20"))
+
+
+@query("SELECT p_partkey, 4 AS height, 4 AS width, 3 AS channel, 'L' AS gray, 2 AS small, true AS same FROM part")
+def images_whole(t):
+    return _images(t.part)
+
+
+def _images(parts):
     from ..functions import media
 
     raw = F.struct(F.expr("unhex(repeat(lpad(hex(p_size), 2, '0'), 48))").alias("data"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channel"), F.lit("RGB").alias("mode"))
-    rows = t.part.filter("p_partkey <= 20").select("p_partkey", image=Expr(raw))
+    rows = parts.select("p_partkey", image=Expr(raw))
     back = rows.with_column("back", Expr(media.decode_image(media.encode_image("image"))))
     b = F.col("back")
     return back.select(

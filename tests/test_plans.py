@@ -78,3 +78,15 @@ def test_whole_lists_reach_the_last_word(spark, tmp_path):
 def test_whole_searches_take_every_query(spark, sf, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     assert {r.j for r in QUERIES[name](spark, sf).select("j").distinct().collect()} == {i for i in ids if i % 50 == 0} > {0}
+
+
+def test_whole_queries_see_large_keys(spark, tmp_path):
+    """Keys beyond 400 and a product of thousands of factors."""
+    spark.range(401, 8402).selectExpr("id c_custkey", "cast(id % 2 as int) c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("id s_suppkey", "1 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(19, 24).selectExpr("id p_partkey", "cast(id as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("aggregate_product_whole") == [(0, 1.0), (1, -1.0)]
+    assert run("set_union_whole") == [(0,), (1,)] and run("set_intersect_whole") == [(1,)] and run("set_intersect_all_whole") == [(1,)] * 3 and run("set_except_distinct_whole") == [(0,)]
+    assert len(run("set_union_all_whole")) == 8004 and len(run("set_except_all_whole")) == 7998
+    assert [r[0] for r in run("images_whole")] == [19, 20, 21, 22, 23]

@@ -4,23 +4,37 @@ Encoding. A text's pre-tokens (matches of the pattern) are encoded one by one;
 those that are tokens themselves are done. The bytes of the others become
 token-position rows (word, place, token). A recursive query joins each row and
 its neighbour with the merge table, contracts the leftmost pair of least rank
-of every word that has a pair, and ends where no word has one. Words of more
-than LONG bytes contract every occurrence of their least pair in a round, left
-to right: the next occurrence is the leftmost of least rank again, unless the
-token just made is part of one of lower rank; such tokens are made one by one.
+of every word that has a pair, and ends where no word has one.
+
+A long word (LONG) contracts, in each round, every pair of least rank among
+those near it, instead of one. With m the bytes of the longest token
+that the word's classes of bytes permit, words are cut into cells of m bytes by their
+first byte, and near are the pairs of the cell before, the own and the next
+two. The result is the same: until such a pair's turn comes only pairs of lower
+rank are contracted, all of which begin more than m bytes away; what they
+change grows as one token that holds their place, and it would have to be longer
+than m to reach the pair. Equal pairs that overlap (in a run, as in "aaaa") are
+taken from its left, every other one, and a run that begins outside is left
+for later. If the new token is part of one of lower rank, equal pairs aren't
+taken together but from the left.
 
 Decoding. Token-position rows join the vocabulary and are put together by an
 ordered aggregation. In both directions only distinct words are looked at
 twice: a bounded cache of encoded words is kept.
 
 The merge table holds every split of a token into two tokens, so ranks alone
-decide, as in the rank files' own library. Memory is bounded by WORDS, IDS and
-DuckDB's limit; the query is restarted for each share of the words.
+decide, as in the rank files' own library.
+
+Memory. A recursive query keeps the rows of all its rounds, so the words of
+one are bounded by the rows they can make (ROWS); long words stop after as
+many rounds as ROWS permits and go on from there. Where DuckDB still reports
+that its memory is used up, the share is halved; a single word of megabytes
+without a break gets more memory, about 200 times its bytes.
 
 Defined results: a null text is empty and has no tokens; bytes come back as
-they were. Ids that aren't in the vocabulary raise an error in decoding. Keys,
-repeated rows and extra columns play no part; an empty table gives an empty
-table.
+they were; texts, words and lists of ids of any length work. Ids that aren't in
+the vocabulary raise an error in decoding. Keys, repeated rows and extra
+columns play no part; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,9 +53,14 @@ from .common import col, text_of
 from .hashing import HELD, trim
 from .ship import ship
 
-#: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words in the cache.
-WORDS, IDS, CHARS, CACHE = 15_000, 300_000, 6_000_000, 400_000
-LONG, STEP_ROWS = 256, 2_000_000
+#: Words in one recursive query, ids in one decoding query and record batch, characters that are encoded at once, words and characters in the cache.
+WORDS, IDS, CHARS, CACHE, CACHE_CHARS = 15_000, 300_000, 6_000_000, 400_000, 12_000_000
+#: Rows that all rounds of a query make, about, and rows of long words in one.
+ROWS, LONG_ROWS = 2_000_000, 250_000
+#: Bytes from which a word is long. Either query gives the same result for any word; this one has fewer rounds, of more work.
+LONG = 48
+#: DuckDB's memory.
+MEGABYTES = 200
 
 # The usual pattern, the same for ``re`` on texts without odd characters, and those: all beyond Latin, numbers that aren't
 # digits, and separators on which the two libraries disagree.
@@ -61,24 +80,30 @@ _ONE = """
             FROM pair JOIN best ON pair.w = best.w
             WHERE pair.before IS DISTINCT FROM best.least & 4294967295))
 """
-_ALL = """
+_NEAR = """
     WITH RECURSIVE state(step, w, pos, id) AS (
         SELECT 0, w, pos, id FROM start
         UNION ALL (
             WITH near AS (
-                SELECT step, w, pos, id, lead(id) OVER place AS next_id, row_number() OVER place AS nth FROM state WHERE step < {steps} WINDOW place AS (PARTITION BY w ORDER BY pos)),
-            pair AS (SELECT near.*, merges.rank FROM near LEFT JOIN merges ON merges.l = near.id AND merges.r = near.next_id),
-            best AS (SELECT w, min(rank) AS least FROM pair WHERE rank IS NOT NULL GROUP BY w),
-            hit AS (SELECT pair.w, pair.nth, best.least IN (SELECT id FROM early) AS early, pair.nth - row_number() OVER (PARTITION BY pair.w ORDER BY pair.nth) AS run FROM pair JOIN best ON pair.w = best.w AND pair.rank = best.least),
-            taken AS (SELECT w, nth FROM (SELECT w, nth, row_number() OVER (PARTITION BY w, run ORDER BY nth) AS odd, row_number() OVER (PARTITION BY w ORDER BY nth) AS hits, early FROM hit)
-                      WHERE odd % 2 = 1 AND (hits = 1 OR NOT early))
-            SELECT step + 1, pair.w, pair.pos, CASE WHEN here.w IS NOT NULL THEN best.least ELSE pair.id END
-            FROM pair JOIN best ON pair.w = best.w
-            LEFT JOIN taken here ON here.w = pair.w AND here.nth = pair.nth
-            LEFT JOIN taken gone ON gone.w = pair.w AND gone.nth = pair.nth - 1
-            WHERE gone.w IS NULL))
+                SELECT step, w, pos, id, pos // {reach} AS cell, lead(id) OVER place AS next_id, row_number() OVER place AS nth FROM state WHERE step < {steps} WINDOW place AS (PARTITION BY w ORDER BY pos)),
+            pair AS MATERIALIZED (
+                SELECT near.*, merges.rank, CAST(merges.rank AS BIGINT) << 32 | CASE WHEN merges.early THEN pos ELSE 0 END AS key FROM near LEFT JOIN merges ON merges.l = near.id AND merges.r = near.next_id),
+            cells AS MATERIALIZED (SELECT w, cell, min(key) AS least FROM pair WHERE rank IS NOT NULL GROUP BY w, cell),
+            around AS (SELECT w, cell, least, min(least) OVER (PARTITION BY w ORDER BY cell RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS lowest FROM cells),
+            hit AS MATERIALIZED (
+                SELECT pair.w, pair.nth, pair.rank, pair.nth - row_number() OVER (PARTITION BY pair.w ORDER BY pair.nth) AS run
+                FROM pair JOIN around ON pair.w = around.w AND pair.cell = around.cell WHERE pair.key = around.least AND around.least = around.lowest),
+            cut AS (
+                SELECT hit.w, hit.run FROM hit JOIN pair ON pair.w = hit.w AND pair.nth = hit.nth - 1 AND pair.rank = hit.rank
+                WHERE NOT EXISTS (SELECT 1 FROM hit before WHERE before.w = hit.w AND before.nth = hit.nth - 1)),
+            taken AS MATERIALIZED (
+                SELECT w, nth, rank FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY nth) AS odd FROM hit) h
+                WHERE odd % 2 = 1 AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.w = h.w AND cut.run = h.run))
+            SELECT step + 1, pair.w, pair.pos, coalesce(here.rank, pair.id)
+            FROM pair LEFT JOIN taken here ON here.w = pair.w AND here.nth = pair.nth LEFT JOIN taken gone ON gone.w = pair.w AND gone.nth = pair.nth - 1
+            WHERE gone.w IS NULL AND pair.w IN (SELECT w FROM cells)))
 """
-_LAST = "SELECT w, id, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) ORDER BY w, pos"
+_LAST = "SELECT w, pos, id, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step) ORDER BY w, pos"
 
 ship(__name__)
 
@@ -94,18 +119,49 @@ class _Words(dict):
 
     def __init__(self):
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.chars += len(word)
         return n
 
 
+def _shares(items: np.ndarray, work: np.ndarray, most: int):
+    """Runs of items of about ``most`` work and at most WORDS items, or one of more work."""
+    ends, at = np.cumsum(work), 0
+    while at < len(items):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield items[at : (to := min(to, at + WORDS))]
+        at = to
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... counts[0] numbers, then those of the next."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
+def _classes() -> np.ndarray:
+    """Bytes by class: small and capital letters, digits, each mark, control characters, and eight groups each of bytes that begin and go on with a character."""
+    out = np.zeros(256, np.uint64)
+    for b in range(256):
+        c = chr(b)
+        if b < 128:
+            n = 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if b < 32 or b == 127 else 4 + b % 36
+        else:
+            n = 40 + (b - 128) // 8 if b < 192 else 48 + (b - 192) // 4
+        out[b] = 1 << n
+    return out
+
+
+_CLASSES = _classes()
+
+
+def _classes_in(word: bytes) -> int:
+    return int(np.bitwise_or.reduce(_CLASSES[np.frombuffer(word, np.uint8)]))
+
+
 class Coder:
     """The vocabulary in a DuckDB database of this process."""
 
@@ -121,11 +177,13 @@ class Coder:
         merges = [(a, b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None]
         l, r, rank = (np.array(x, np.int64) for x in zip(*merges)) if merges else [np.zeros(0, np.int64)] * 3  # noqa: E741
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.sizes = np.array([len(t) for t in self.rank], np.int64)
+        self.classes = np.array([_classes_in(t) for t in self.rank], np.uint64)
+        self.reaches: dict[int, int] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEGABYTES}MB", "temp_directory": ""})
         entries = pa.table([pa.array(x, pa.int32()) for x in (l, r, rank)], ["l", "r", "rank"])  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM entries")
-        # Tokens that are part of a token of lower rank.
-        self.db.execute("CREATE TABLE early AS SELECT l AS id FROM merges WHERE rank < l UNION SELECT r FROM merges WHERE rank < r")
+        # Whether a merge's token is part of a token of lower rank.
+        self.db.execute("CREATE TABLE merges AS SELECT *, rank IN (SELECT l FROM entries WHERE rank < l UNION SELECT r FROM entries WHERE rank < r) AS early FROM entries")
         # A byte b is written as the character 256 + b, whose low byte in UTF-16 is b again.
         entries = pa.table({"id": pa.array(self.rank.values(), pa.int32()), "chars": ["".join(chr(256 + b) for b in t) for t in self.rank]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM entries")
@@ -137,39 +195,77 @@ class Coder:
         known = np.array([self.rank.get(w, -1) for w in words], np.int64)
         open_ = np.flatnonzero(known < 0)
         sizes = np.array([len(words[i]) for i in open_], np.int64)
-        short, long_ = open_[sizes <= LONG], open_[sizes > LONG]
         parts.append((np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32)))
-        for i in long_:
-            ids = self._contract_long(self.byte[np.frombuffer(words[i], np.uint8)])
-            counts[i] = len(ids)
-            parts.append((np.array([i]), ids))
-        for share in (short[i : i + WORDS] for i in range(0, len(short), WORDS)):
-            data = np.frombuffer(b"".join([words[i] for i in share]), np.uint8)
-            lengths = np.array([len(words[i]) for i in share])
-            w = np.repeat(np.arange(len(share)), lengths)
-            pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            start = pa.table([pa.array(x, pa.int32()) for x in (w, pos, self.byte[data])], ["w", "pos", "id"])  # noqa: F841
-            got = self.db.execute(_ONE + _LAST).fetchnumpy()
-            counts[share] = np.bincount(got["w"], minlength=len(share))
-            parts.append((share, np.asarray(got["id"], np.int32)))
+        for some, work, most, how in (
+            # A word of n bytes makes fewer than n * n / 2 rows in all its rounds.
+            (sizes <= LONG, sizes * (sizes + 1) // 2, ROWS, self._one), (sizes > LONG, sizes, LONG_ROWS, self._near),
+        ):
+            chosen, work = open_[some], work[some]
+            if how == self._near:  # words of like reach together
+                order = np.argsort([self._reach(words[i]) for i in chosen], kind="stable")
+                chosen, work = chosen[order], work[order]
+            for share in _shares(chosen, work, most):
+                for share, ids, n in self._halving(how, share, words):
+                    counts[share] = n
+                    parts.append((share, ids))
         flat, starts = np.empty(counts.sum(), np.int32), np.cumsum(counts) - counts
         for share, ids in parts:
             flat[_ranges(starts[share], counts[share])] = ids
         return flat, counts
 
-    def _contract_long(self, ids: np.ndarray) -> np.ndarray:
-        """The ids of one long word. A query keeps the rows of all its rounds, so it ends after STEP_ROWS rows or so and the next goes on."""
-        while True:
-            steps = max(1, STEP_ROWS // len(ids))
-            start = pa.table([pa.array(x, pa.int32()) for x in (np.zeros(len(ids), np.int64), np.arange(len(ids)), ids)], ["w", "pos", "id"])  # noqa: F841
-            got = self.db.execute(_ALL.format(steps=steps) + _LAST).fetchnumpy()
-            ids = np.asarray(got["id"], np.int32)
-            if got["step"][0] < steps:
-                return ids
+    def _halving(self, how, share: np.ndarray, words: list[bytes]):
+        """Yields (share, ids, how many each word has), of smaller shares where memory doesn't suffice."""
+        from duckdb import OutOfMemoryException
+
+        try:
+            yield share, *how([words[i] for i in share])
+        except OutOfMemoryException:
+            if len(share) > 1:
+                for half in np.array_split(share, 2):
+                    yield from self._halving(how, half, words)
+                return
+            self.db.execute(f"SET memory_limit = '{2 * MEGABYTES + 200 * len(words[share[0]]) // 1_000_000}MB'")
+            yield share, *how([words[share[0]]])
+            self.db.execute(f"SET memory_limit = '{MEGABYTES}MB'")
+
+    def _reach(self, word: bytes) -> int:
+        """The longest token that the word's classes of bytes permit."""
+        if (own := _classes_in(word)) not in self.reaches:
+            self.reaches[own] = int(self.sizes[(self.classes & ~np.uint64(own)) == 0].max())
+        return self.reaches[own]
+
+    def _run(self, query: str, w: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        """The rows (w, pos, id, step) of the last round of each word."""
+        start = pa.table([pa.array(x, pa.int32()) for x in (w, pos, ids)], ["w", "pos", "id"])  # noqa: F841
+        got = self.db.execute(query + _LAST).fetchnumpy()
+        return [np.asarray(got[x], np.int32) for x in ("w", "pos", "id", "step")]
+
+    def _rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token-position rows of the words' bytes."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(x) for x in words])
+        pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return np.repeat(np.arange(len(words)), lengths), pos, self.byte[data]
+
+    def _one(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        w, _, ids, _ = self._run(_ONE, *self._rows(words))
+        return ids, np.bincount(w, minlength=len(words))
+
+    def _near(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        reach = max(map(self._reach, words))
+        left, done = self._rows(words), []
+        while len(left[0]):
+            steps = max(1, ROWS // len(left[0]))
+            *rows, step = self._run(_NEAR.format(steps=steps, reach=reach), *left)
+            last = step < steps
+            done.append([x[last] for x in rows])
+            left = [x[~last] for x in rows]
+        w, pos, ids = (np.concatenate(x) for x in zip(*done))
+        return ids[np.lexsort((pos, w))], np.bincount(w, minlength=len(words))
 
     def encode(self, texts):
         """Yields (ids one after the other, how many each text has) for groups of texts, in order, of about IDS ids or one longer text. texts: an iterable of strings."""
-        if len(self.words) > CACHE:
+        if len(self.words) > CACHE or self.words.chars > CACHE_CHARS:
             self.forget()
         places = []
         for text in texts:
@@ -196,13 +292,21 @@ class Coder:
         self.flat, self.counts, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The bytes of each of the lists of ids that offsets cut; shares of about IDS ids, or one longer list."""
+        """The bytes of each of the lists of ids that offsets cut. Lists are cut into pieces of at most IDS ids; shares have about as many."""
+        lengths = np.diff(offsets)
+        pieces = np.maximum(1, -(-lengths // IDS))
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = np.append(np.asarray(offsets)[:-1][owner] + nth * IDS, offsets[-1])
         out, at = [], 0
-        while at + 1 < len(offsets):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + IDS, "right")) - 1)
-            out += self._decode(ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        while at + 1 < len(cuts):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + IDS, "right")) - 1)
+            out += self._decode(ids[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at])
             at = to
-        return out
+        if len(out) == len(lengths):
+            return out
+        firsts = np.cumsum(pieces) - pieces
+        return [b"".join(out[a : a + k]) for a, k in zip(firsts.tolist(), pieces.tolist())]
 
     def _decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         lengths = np.diff(offsets)
@@ -253,7 +357,7 @@ def _encode(ranks, pattern: str, back: bool):
                 at = to
                 out = flat = None
                 trim()
-        if len(coder.words) > CACHE:
+        if len(coder.words) > CACHE or coder.words.chars > CACHE_CHARS:
             coder.forget()
         trim()
 

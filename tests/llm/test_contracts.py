@@ -293,6 +293,42 @@ def test_bpe_matches_the_library(spark, odd):
         bpe.decode(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>"), ranks, pattern).collect()
 
 
+def library():
+    import public_tokenizers as P
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in (x.split() for x in Q.vocabulary()[0].splitlines())}, special_tokens={})
+
+
+def test_bpe_of_long_and_many_words():
+    """Words of all lengths about LONG, runs of equal pairs, 15,000 words of 60 Chinese characters, a word of a megabyte."""
+    import numpy as np
+
+    from loomframe.llm import bpe
+
+    rng = random.Random(2)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alphabets = ("a", "ab", "aeiou", "abcdefghijklmnopqrstuvwxyz", "ACGT", "日本語文字", "0123456789", "!-=", "-", "éàü", "теста", [" the", "ing", "tion", "house"])
+    coder, want = bpe.Coder(*Q.vocabulary()), library().encode_ordinary
+    for texts in (
+        [some(a, n) for a in alphabets for n in [*range(bpe.LONG - 4, bpe.LONG + 5), *(rng.randrange(130, 500) for _ in range(12))]],
+        ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60)) for _ in range(15_000)], ["a" * 300_000, some(["the", "ing", "tion", "house", "water", "qu", "er"], 270_000)],
+    ):
+        at, every = 0, []
+        for flat, counts in coder.encode(texts):
+            cuts = np.append(0, np.cumsum(counts))
+            every += [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+            assert [x.decode() for x in coder.decode(flat, cuts)] == texts[at : at + len(counts)]
+            at += len(counts)
+        assert every == [want(t) for t in texts]
+
+
+def test_bpe_query_on_the_documents(spark, sf):
+    encode, sha = library().encode_ordinary, lambda b: hashlib.sha256(b).hexdigest()
+    want = {(r.doc_id, len(ids := encode(r.text or "")), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())) for r in Q.documents(spark, sf).collect()}
+    assert {tuple(r) for r in Q.op8_bpe_duckdb(spark, sf).collect()} == want
+
+
 def test_toxicity_gradients():
     import numpy as np
 

@@ -380,26 +380,43 @@ def brute_repeats(rows, width=35):
     return Counter(out)
 
 
+def check_repeats(df, rows):
+    """Words removed are those of brute force; each factor's words are those of its source, at another place; factors and literals give the text back."""
+    got = substring.remove_repeats(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_repeats(rows)
+    named = {r.row: r.doc_id for r in got}
+    texts = {}
+    for r, (_, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.kept)), sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        texts.setdefault(r.doc_id, words(t))
+    twice = {i for i, n in Counter(i for i, _ in rows).items() if n > 1}
+    for r in got:
+        mine, back, at = texts[r.doc_id], [], 0
+        for s in r.spans:
+            source = texts[named[s.source]]
+            assert s.start >= at and s.end > s.start and (s.source != r.row or s.position != s.start or r.doc_id in twice)
+            back += mine[at : s.start] + source[s.position : s.position + s.end - s.start]
+            at = s.end
+        assert back + mine[at:] == mine and at <= len(mine) and sum(s.end - s.start for s in r.spans) == r.n_removed
+
+
 def test_substring_dedup_matches_brute_force(spark, odd, sf):
     df, rows = odd
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()) == brute_repeats([r[:2] for r in rows])
+    check_repeats(df, [r[:2] for r in rows])
     docs = Q.documents(spark, sf)
-    want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
-    got = substring.remove_repeats(docs).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == want
-    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+    check_repeats(docs, [(r.doc_id, r.text) for r in docs.collect()])
 
 
 def test_substring_spans_tasks(spark):
-    """Copies that different tasks read, phrases that a task meets twice, and windows at the edges of passages."""
+    """Copies that different tasks read, phrases that a task meets twice, passages repeated in one text, and windows at the edges of passages."""
     rng = random.Random(5)
     passage = [str(rng.randrange(9)) for _ in range(90)]
     rows = []
     for i in range(60):
         a, b = sorted((rng.randrange(90), rng.randrange(90)))
-        rows.append((i, " ".join([str(rng.random()) for _ in range(rng.randrange(30))] + passage[a:b] + [str(rng.random()) for _ in range(rng.randrange(5))])))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()) == brute_repeats(rows)
+        own = [str(rng.random()) for _ in range(rng.randrange(30))] + passage[a:b] + [str(rng.random()) for _ in range(rng.randrange(5))]
+        rows.append((i, " ".join(own * rng.choice([1, 1, 2, 3]))))
+    rows += [(60, "a b " * 200), (61, "x y z " * 40)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(9), rows)
 
 
 def test_empty_tables(spark, empty, tmp_path):

@@ -179,6 +179,40 @@ def test_pii_finds_secrets_of_any_case_without_digits(spark):
         assert r.n_entities == 1 and r.text.startswith(f"set {keys[r.doc_id]}") and "QwertyUiopAs" not in r.text
 
 
+def test_pii_coreference_and_reserved_ranges(spark):
+    """Family names alone and behind given names, numbers with and without their country code, check digits, reserved ranges."""
+    got = {r.entity: r.surrogate for r in pii.surrogates(spark.createDataFrame([(x,) for x in [
+        "Mr. Smith", "Mr. John Smith", "Mrs. Jane Mary Smith", "Dr John Smith", "+1 366 123 9807", "366-123-9807", "+49 366 555 9807", "+493665559807", "10.0.0.1", "8.8.4.4", "2001:4860:4860::8888",
+        "fe80:0:0:0:1:2:3:4", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "4944339490429605", "4944339490429606", "1234567890123456", "DE88 3704 0044 0532 0130 00",
+    ]], "entity string"), "k").collect()}
+    assert not {"4944339490429606", "1234567890123456", "DE88 3704 0044 0532 0130 00"} & set(got) and len(got) == 16
+    a, b, c, d = (got[x].split() for x in ("Mr. Smith", "Mr. John Smith", "Mrs. Jane Mary Smith", "Dr John Smith"))
+    assert a[0] == "Mr." and a[-1] == b[-1] == c[-1] == d[-1] != "Smith" and [len(x) for x in (a, b, c, d)] == [2, 3, 4, 3] and b[1] == d[1] in pii.GIVEN["latin", "m"]
+    bare = lambda x: re.sub("[^0-9A-Z]", "", x)
+    assert bare(got["+1 366 123 9807"]) == "1" + bare(got["366-123-9807"]) and re.fullmatch(r"\+1 \d{3} 555 \d{4}", got["+1 366 123 9807"])
+    assert bare(got["+49 366 555 9807"]) == bare(got["+493665559807"]) and got["+493665559807"].startswith("+49")
+    assert got["10.0.0.1"].startswith("10.") and 240 <= int(got["8.8.4.4"].split(".")[0]) <= 254
+    import ipaddress
+
+    for x in ("2001:4860:4860::8888", "fe80:0:0:0:1:2:3:4"):
+        assert ipaddress.ip_address(got[x]) in ipaddress.ip_network("2001:db8::/32") and got[x] != x
+    for x in ("DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"):
+        n = bare(got[x])
+        assert got[x] != x and got[x][:2] == x[:2] and [len(p) for p in got[x].split()] == [len(p) for p in x.split()] and int("".join(str(int(ch, 36)) for ch in n[4:] + n[:4])) % 97 == 1
+    assert bare(got["DE89 3704 0044 0532 0130 00"]) == got["DE89370400440532013000"]
+
+
+def test_pii_given_names_of_one_family_stay_distinct(spark):
+    """More given names than the lists have, of one family: surrogates are distinct and share the family's."""
+    names = [f"{t} {'BCDFGHKLMN'[i % 10]}{'aeiou'[i // 10 % 5]}{'klmn'[i // 50]}a Meier" for i in range(200) for t in ("Mr", "Mrs")]
+    got = {r.entity: r.surrogate for r in pii.surrogates(spark.createDataFrame([(n,) for n in names], "entity string"), "k").collect()}
+    assert len(set(got.values())) == 400 and len({s.split()[-1] for s in got.values()}) == 1
+    owners = {}
+    for e, s in got.items():
+        owners.setdefault(s.split()[1], set()).add(e.split()[1])
+    assert all(len(o) == 1 for o in owners.values())
+
+
 def test_pii_surrogates_stay_distinct(spark):
     """Eight thousand addresses: any two that would share a surrogate are drawn again."""
     entities = spark.range(8000).selectExpr("concat('10.', id div 250, '.', id % 250, '.7') as entity")

@@ -63,19 +63,21 @@ def kept_documents(df: DataFrame, key: str = "doc_id", text: str = "text", heavy
     row that stays, an arbitrary one is kept.
     """
     decided = _decide(_narrow(df, key, text), heavy, tracked).filter("group_size > 1")
-    groups = cut(decided.groupBy(F.col("key").alias("__loom_k"), F.col("digest").alias("__loom_d")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "decided")
-    d, n = fresh(df, "digest"), fresh(df, "rank")
+    k, g, d, n = (fresh(df, f"__loom_{x}") for x in ("key", "gone", "digest", "row"))
+    groups = cut(decided.groupBy(F.col("key").alias(k), F.col("digest").alias(g)).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")), "decided")
     rows = df.withColumn(d, F.sha2(text_of(text), 256))
 
     def found(some: DataFrame, how: str) -> DataFrame:
-        some = some.select("__loom_k", "__loom_d")
+        some = some.select(k, g)
         small = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(some) if small else some, F.col("__loom_k").eqNullSafe(col(key)) & (F.col("__loom_d") == col(d)), how)
+        return rows.join(F.broadcast(some) if small else some, F.col(k).eqNullSafe(col(key)) & (F.col(g) == col(d)), how)
 
-    rows = found(groups.filter("not stays"), "left_anti")
+    out = found(groups.filter("not stays"), "left_anti")
     repeated = groups.filter("stays and n > 1")
     if repeated.limit(1).count():
-        once = Window.partitionBy(col(key), col(d)).orderBy(F.lit(1))
-        first = found(repeated, "left_semi").withColumn(n, F.row_number().over(once)).filter(col(n) == 1).drop(n)
-        rows = found(repeated, "left_anti").unionByName(first)
-    return rows.select(*[col(c) for c in df.columns])
+        # Pre-aggregated, so a row that repeats without end is no single task's burden.
+        first = found(repeated, "left_semi").groupBy(col(key), col(d)).agg(F.first(F.struct(*[col(c) for c in df.columns])).alias(n))
+        # Those that repeat are among the rows that stay, and are taken out of them.
+        out = found(groups.filter("not stays or n > 1"), "left_anti")
+        out = out.select(*[col(c) for c in df.columns]).unionByName(first.select(*[F.col(n).getField(c).alias(c) for c in df.columns]))
+    return out.select(*[col(c) for c in df.columns])

@@ -4,14 +4,22 @@ Writing. A payload is stored losslessly as frames of one video track of
 24 x 24 samples of 8 bits (576 bytes; the last frame is filled with bytes
 255). Every 24th frame, one a second, is marked as a keyframe.
 
-Reading. Boxes are walked by size (32-bit, 64-bit and to-the-end sizes), the
-sample tables (stts, stsc, stsz, stco or co64, stss) give each sample's place
-and time, and codec, duration and the keyframes' byte ranges come from the
+Reading. Boxes are walked by size (32-bit, 64-bit and to-the-end sizes) with a
+stack of at most DEPTH. Of every track the sample tables (stts, stsc, stsz or
+stz2, stco or co64, stss) and the runs of movie fragments (trex, tfhd, trun)
+give each sample's place, size, time and whether it is a keyframe. Described
+are the first video track, or the first track where there is none, with codec,
+duration (the sum of stts and runs, or mdhd's where they give none) and the
+keyframes' byte ranges and times; the others are listed. That comes from the
 tables alone: payload bytes are touched only where the payload is asked for.
+Edit lists and composition offsets (elst, ctts) are left out: times are those
+of decoding, from the track's beginning.
 
 Defined results: a null text is empty and is one frame of filling. A null or
-broken container gives a null row of features. Any length works; batches are
-cut by bytes. Extra columns pass through ``inspect`` untouched.
+broken container (boxes, tables or samples that end outside, counts that the
+bytes present can't hold, boxes nested too deep, no track) gives a null row of
+features. Any length works; batches are cut by bytes. Extra columns pass
+through ``inspect`` untouched; if one is named info, the new one is _info.
 """
 
 from __future__ import annotations
@@ -23,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, text_of
+from .common import col, fresh, text_of
 from .hashing import trim
 from .ship import ship
 
 SIDE, FRAME, RATE, GROUP, FILL = 24, 576, 24, 24, b"\xff"
 BATCH_BYTES = 8 << 20
 #: Boxes that hold boxes.
-NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta")
+NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
+DEPTH = 16
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 ship(__name__)
@@ -70,59 +79,161 @@ def encode(data: bytes) -> bytes:
     return head + moov(at) + _box(b"mdat", data, FILL * (frames * FRAME - len(data)))
 
 
-def boxes(data, start: int = 0, end: int | None = None, path: tuple = ()):
-    """Yields (path, start of body, end) of every box, outer ones first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def boxes(data):
+    """Yields (path, start of body, end) of every box, outer ones before those they hold."""
+    stack = [((), 0, len(data))]
+    while stack:
+        path, start, end = stack.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         stop = end if size == 0 else start + size
-        if stop < body or stop > end:
-            raise ValueError(f"box {kind!r} at byte {start} ends outside its parent")
+        if stop < body or stop > end or len(path) >= DEPTH:
+            raise ValueError(f"box {kind!r} at byte {start} ends outside its parent, or is nested too deep")
         yield (*path, kind), body, stop
+        stack.append((path, stop, end))
         if kind in NESTED:
-            yield from boxes(data, body, stop, (*path, kind))
-        start = stop
+            stack.append(((*path, kind), body, stop))
 
 
-def _numbers(data, at: int, n: int, kind: str = ">u4") -> np.ndarray:
+def _numbers(data, at: int, n: int, kind: str = ">u4", end: int | None = None) -> np.ndarray:
+    if at + n * np.dtype(kind).itemsize > (len(data) if end is None else end):
+        raise ValueError("a table ends outside its box")
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def inspect_bytes(data) -> dict:
-    """Codec, timescale, duration, samples and keyframes (offset, size) of the first track, and where its samples are."""
-    found: dict[bytes, tuple[int, int]] = {}
+def _table(data, box: tuple[int, int], columns: int = 1, kind: str = ">u4") -> np.ndarray:
+    """The rows of a table that begins with its length."""
+    a, end = box
+    return _numbers(data, a + 8, columns * struct.unpack_from(">I", data, a + 4)[0], kind, end).reshape(-1, columns)
+
+
+def _clipped(counts: np.ndarray, n: int) -> np.ndarray:
+    """The counts, but n in all at most."""
+    return np.diff(np.minimum(np.append(0, np.cumsum(np.minimum(counts, n))), n))
+
+
+def _sizes(data, found: dict) -> np.ndarray:
+    if b"stsz" in found:
+        a, end = found[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data, a + 4)
+        if fixed and n * fixed > len(data):
+            raise ValueError("more samples than bytes")
+        return np.full(n, fixed, np.int64) if fixed else _numbers(data, a + 12, n, end=end)
+    a, end = found[b"stz2"]
+    bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits == 4:
+        pairs = _numbers(data, a + 12, -(-n // 2), ">u1", end)
+        return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:n]
+    return _numbers(data, a + 12, n, {8: ">u1", 16: ">u2"}[bits], end)
+
+
+def _samples(data, found: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """offsets, sizes, times and numbers of keyframes of what the sample tables hold."""
+    sizes = _sizes(data, found)
+    n = len(sizes)
+    chunk_at = (_table(data, found[b"co64"], kind=">u8") if b"co64" in found else _table(data, found[b"stco"]))[:, 0]
+    runs = _table(data, found[b"stsc"], 3)
+    per_chunk = _clipped(np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1))), n)
+    if per_chunk.sum() < n:
+        raise ValueError("samples without a chunk")
+    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)
+    before = np.cumsum(sizes) - sizes
+    first = np.minimum(np.cumsum(per_chunk) - per_chunk, max(n - 1, 0))
+    offsets = chunk_at[chunk] + before - before[first][chunk] if n else before
+    steps = _table(data, found[b"stts"], 2) if b"stts" in found else np.zeros((0, 2), np.int64)
+    delta = np.repeat(steps[:, 1], _clipped(steps[:, 0], n))
+    times = np.append(0, np.cumsum(np.append(delta, np.zeros(n - len(delta), np.int64))))
+    keys = _table(data, found[b"stss"])[:, 0] - 1 if b"stss" in found else np.arange(n)
+    if len(keys) and not 0 <= keys.min() <= keys.max() < n:
+        raise ValueError("a keyframe that isn't a sample")
+    return offsets, sizes, times, keys
+
+
+def _run(data, box: tuple[int, int], base: int, header: list[int], at: int):
+    """A trun's offsets, sizes, durations and keyframes; header: default duration, size and flags; at: where it begins if it doesn't say."""
+    a, end = box
+    flags, n = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    place = a + 8
+    if flags & 1:
+        at, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+    first = None
+    if flags & 4:
+        first, place = struct.unpack_from(">I", data, place)[0], place + 4
+    kinds = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if flags & bit]
+    if not kinds and n * max(1, header[1]) > len(data):
+        raise ValueError("more samples than bytes")
+    rows = _numbers(data, place, n * len(kinds), end=end).reshape(-1, len(kinds)) if kinds else None
+    duration, size, marks = (rows[:, kinds.index(k)] if k in kinds else np.full(n, header[k], np.int64) for k in range(3))
+    if first is not None and n:
+        marks = np.append(first, marks[1:])
+    return at + np.cumsum(size) - size, size, duration, np.flatnonzero(marks & 0x10000 == 0)
+
+
+def tracks(data) -> list[dict]:
+    """Of every track: kind, codec, timescale, duration, samples, keyframes (offset, size, time), and where its samples are."""
+    found, moof, extends, header, fragment, at = [], 0, {}, [0, 0, 0], None, 0
+    size = None
     for path, a, b in boxes(data):
-        if path[:1] == (b"moov",) and sum(p == (b"moov", b"trak") for p in [path]) and b"trak" in found:
-            break  # a second track
-        found.setdefault(path[-1], (a, b))
+        kind = path[-1]
+        if path == (b"moov", b"trak"):
+            found.append({"runs": []})
+        elif path[:2] == (b"moov", b"trak") and found:
+            found[-1].setdefault(kind, (a, b))
+        elif path == (b"moov", b"udta", b"size"):
+            size = struct.unpack_from(">Q", data, a + 4)[0]
+        elif kind == b"trex":
+            track, _, *own = struct.unpack_from(">5I", data, a + 4)
+            extends[track] = own
+        elif path == (b"moof",):
+            moof = a - 8
+            at = moof
+        elif kind == b"tfhd":
+            flags, track = struct.unpack_from(">II", data, a)
+            header, place, base = list(extends.get(track, [0, 0, 0])), a + 8, moof
+            if flags & 1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 if flags & 2 else 0
+            for k, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    header[k], place = struct.unpack_from(">I", data, place)[0], place + 4
+            fragment, at = (track, base), base
+        elif kind == b"trun" and fragment:
+            run = _run(data, (a, b), fragment[1], header, at)
+            at = int(run[0][-1] + run[1][-1]) if len(run[0]) else at
+            for t in found:
+                if t.get(b"tkhd") and struct.unpack_from(">I", data, t[b"tkhd"][0] + (20 if data[t[b"tkhd"][0]] else 12))[0] == fragment[0]:
+                    t["runs"].append(run)
+    return [_track(data, t) | {"original_bytes": size} for t in found]
+
+
+def _track(data, found: dict) -> dict:
     a = found[b"mdhd"][0]
     timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
     codec = bytes(data[found[b"stsd"][0] + 12 :][:4]).decode("latin-1").strip()
-    a = found[b"stsz"][0]
-    fixed, n = struct.unpack_from(">II", data, a + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else _numbers(data, a + 12, n)
-    wide = b"co64" in found
-    a = found[b"co64" if wide else b"stco"][0]
-    chunk_at = _numbers(data, a + 8, struct.unpack_from(">I", data, a + 4)[0], ">u8" if wide else ">u4")
-    a = found[b"stsc"][0]
-    runs = _numbers(data, a + 8, 3 * struct.unpack_from(">I", data, a + 4)[0]).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
-    chunk = np.repeat(np.arange(len(chunk_at)), per_chunk)[:n]
-    before = np.cumsum(sizes) - sizes
-    first = np.minimum(np.cumsum(per_chunk) - per_chunk, max(n - 1, 0))
-    offsets = chunk_at[chunk] + before - before[first][chunk] if n else before
-    a = found.get(b"stss", (None,))[0]
-    keys = np.arange(n) if a is None else _numbers(data, a + 8, struct.unpack_from(">I", data, a + 4)[0]) - 1
-    size = found.get(b"size")
+    kind = bytes(data[found[b"hdlr"][0] + 8 :][:4]).decode("latin-1") if b"hdlr" in found else ""
+    offsets, sizes, times, keys = _samples(data, found)
+    for more, size, delta, own in found["runs"]:
+        keys = np.concatenate([keys, len(offsets) + own])
+        offsets, sizes, times = np.concatenate([offsets, more]), np.concatenate([sizes, size]), np.concatenate([times, times[-1] + np.cumsum(delta)])
+    if len(offsets) and ((offsets < 0) | (offsets + sizes > len(data))).any():
+        raise ValueError("a sample outside the file")
     return {
-        "codec": codec, "timescale": timescale, "duration": duration, "samples": n, "keyframes": list(zip(offsets[keys].tolist(), sizes[keys].tolist())),
-        "original_bytes": struct.unpack_from(">Q", data, size[0] + 4)[0] if size else None, "offsets": offsets, "sizes": sizes,
+        "kind": kind, "codec": codec, "timescale": timescale, "duration": int(times[-1]) or duration, "samples": len(offsets),
+        "keyframes": list(zip(offsets[keys].tolist(), sizes[keys].tolist(), times[keys].tolist())), "offsets": offsets, "sizes": sizes,
     }
 
 
+def inspect_bytes(data) -> dict:
+    """The first video track, or the first of any kind, as ``tracks`` gives it, and all of them as ``tracks``."""
+    every = tracks(data)
+    return next((t for t in every if t["kind"] == "vide"), every[0]) | {"tracks": every}
+
+
 def payload(data, info: dict) -> bytes:
     """The samples' bytes, in order; neighbours are read at once."""
     offsets, sizes = info["offsets"], info["sizes"]
@@ -151,11 +262,13 @@ def _write(batches):
         trim()
 
 
+_TRACK = [("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64())]
 _INFO = pa.struct([
-    ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()),
-    ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))), ("original_bytes", pa.int64()), ("payload", pa.binary()),
+    *_TRACK, ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("time", pa.int64())]))), ("original_bytes", pa.int64()),
+    ("payload", pa.binary()), ("tracks", pa.list_(pa.struct(_TRACK))),
 ])
-INFO = "struct<codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<offset:long,size:long>>,original_bytes:long,payload:binary>"
+TRACK = "kind:string,codec:string,timescale:long,duration:long,samples:long"
+INFO = f"struct<{TRACK},keyframes:array<struct<offset:long,size:long,time:long>>,original_bytes:long,payload:binary,tracks:array<struct<{TRACK}>>>"
 
 
 def _features(data, with_payload: bool) -> dict | None:
@@ -164,8 +277,9 @@ def _features(data, with_payload: bool) -> dict | None:
         got = payload(data, info) if with_payload else None
     except (ValueError, KeyError, IndexError, struct.error):
         return None
-    return {k: info[k] for k in ("codec", "timescale", "duration", "samples", "original_bytes")} | {
-        "keyframes": [{"offset": a, "size": b} for a, b in info["keyframes"]], "payload": got
+    names = [n for n, _ in _TRACK]
+    return {k: info[k] for k in (*names, "original_bytes")} | {
+        "keyframes": [{"offset": a, "size": b, "time": t} for a, b, t in info["keyframes"]], "payload": got, "tracks": [{k: t[k] for k in names} for t in info["tracks"]],
     }
 
 
@@ -192,4 +306,4 @@ def inspect(df: DataFrame, media: str = "media", with_payload: bool = False) ->
     rows = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(others)], col(media).cast("binary").alias("media"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     rows = rows.mapInArrow(_inspect(with_payload), f"{kinds}, info {INFO}")
-    return rows.toDF(*others, media, "info")
+    return rows.toDF(*others, media, fresh(df, "info"))

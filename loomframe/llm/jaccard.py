@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut
+from .common import col, cut, fresh
 from .components import components
 from .hashing import mix, release, shingle_sets, trim
 from .ship import ship
@@ -301,5 +301,6 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     """The rows of df whose id is the least of its group, all columns kept; rows with a null id stay."""
     found = cut(similar(df, key, text, n, percent).filter("id <> component").select("id").distinct(), "dropped")
     small = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = found.withColumnRenamed("id", "__loom_id")
-    return df.join(F.broadcast(gone) if small else gone, col(key).cast("long") == F.col("__loom_id"), "left_anti")
+    own = fresh(df, "__loom_id")
+    gone = found.withColumnRenamed("id", own)
+    return df.join(F.broadcast(gone) if small else gone, col(key).cast("long") == F.col(own), "left_anti")

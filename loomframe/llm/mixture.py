@@ -8,8 +8,10 @@ hash of its key falls below the fraction.
 
 Defined results: null text has no tokens and is taken by its rate like any
 other; a source without tokens has target and rate 0. The null source is a
-source, last in the order. Rows that repeat a key are taken alike. An empty
-table gives an empty table.
+source, last in the order. Rows that repeat a key are taken alike. Extra
+columns, whatever their names, play no part and are kept by ``emit``. The table
+of sources is ordered by one task: it takes thousands of sources, not a source
+for each record. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -55,22 +57,31 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return rows.select("source", "source_size", target.alias("target"), F.coalesce(F.try_divide(target, F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
 
 
+def _names(df: DataFrame) -> dict[str, str]:
+    """Names of the columns that a mix adds: none of df's."""
+    return {c: fresh(df, f"__loom_{c}") for c in ("source", "source_size", "target", "rate", "copies", "nth", "size", "own")}
+
+
 def mix(df: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", keep_columns: bool = False) -> DataFrame:
-    """keep_columns: df's columns (for ``emit``); else key and size. Adds source_size, target, copies."""
-    size, s = fresh(df, "size"), fresh(df, "source_")
+    """keep_columns: df's columns (for ``emit``); else key and size. Adds __loom_source_size, __loom_target, __loom_copies, with more underscores in front where df has such columns."""
+    names = _names(df)
+    size, s = names["size"], names["own"]
     rows = df.withColumn(size, tokens(text)).withColumn(s, col(source))
     sizes = rows.groupBy(col(s).alias("source")).agg(F.sum(col(size)).alias("source_size"))
     table = cut(targets(sizes, weights, share, most), "targets")
     small = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    mixed = table.select(F.col("source").alias("__loom_source"), *[F.col(c).alias(f"__loom_{c}") for c in ("source_size", "target", "rate")])
-    rows = rows.join(F.broadcast(mixed) if small else mixed, col(s).eqNullSafe(F.col("__loom_source")))
-    whole = F.floor("__loom_rate")
-    copies = (whole + F.when(unit(col(key), seed) < F.col("__loom_rate") - whole, 1).otherwise(0)).alias("__loom_copies")
+    mixed = table.select(*[F.col(c).alias(names[c]) for c in ("source", "source_size", "target", "rate")])
+    rows = rows.join(F.broadcast(mixed) if small else mixed, col(s).eqNullSafe(F.col(names["source"])))
+    rate = F.col(names["rate"])
+    whole = F.floor(rate)
+    copies = (whole + F.when(unit(col(key), seed) < rate - whole, 1).otherwise(0)).alias(names["copies"])
     mine = [col(c) for c in df.columns] if keep_columns else [col(key), col(size).alias("size")]
-    return rows.select(*mine, "__loom_source_size", "__loom_target", copies)
+    return rows.select(*mine, names["source_size"], names["target"], copies)
 
 
 def emit(df: DataFrame, weights: list[float], **options) -> DataFrame:
     """df's rows, each as often as the mix takes it."""
-    rows = mix(df, weights, keep_columns=True, **options)
-    return rows.withColumn("__loom_nth", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__loom_copies"), F.lit(1))))).filter("__loom_copies > 0").select(*[col(c) for c in df.columns])
+    names = _names(df)
+    copies = F.col(names["copies"])
+    rows = mix(df, weights, keep_columns=True, **options).filter(copies > 0)
+    return rows.withColumn(names["nth"], F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*[col(c) for c in df.columns])

@@ -11,7 +11,8 @@ whole shard.
 
 Defined results: a null key is a key like any other; null text has size
 ``overhead`` and the CRC-32 of no bytes (0). Rows that repeat a key share a
-shard and have slots of their own. An empty table gives an empty table.
+shard and have slots of their own; ties in a draw go to the lower shard. Extra
+columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -17,10 +17,14 @@ their key, at most ``toxic_rows`` and ``clean_rows`` rows and texts of at most
 ``sample_bytes`` bytes. The model has a fixed size (about 9 MB) and is
 broadcast. The logits are shifted so that 0.5 parts the sample best.
 
-Defined results: a null or blank text has no words and scores as one empty
-window. Without rows of both labels every score is 0. Null labels aren't used.
-Keys, repeated rows and extra columns play no part in a score; an empty table
-gives an empty table.
+Toxic texts without evidence in any window count less in training and in the
+choice of the threshold: their windows tell little. Toxicity that shares no
+word or n-gram with the sample is therefore found less often.
+
+Defined results: a null or blank text has no words and scores 0. Without rows of both labels every score is 0. Null labels aren't used.
+Keys, repeated rows and extra columns, whatever their names, play no part in a
+score; texts of any length are scored whole; a score of exactly ``least`` (0.5)
+is toxic. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -331,7 +335,7 @@ def scores(model: dict | None, texts: pa.Array) -> np.ndarray:
         inverse, distinct, lengths, grams, offsets = _vocabulary(data, h, starts, ends)
         fixed = _fixed_inputs(model["evidence_words"][_index(distinct, EVIDENCE)], model["evidence_grams"][_index(grams, EVIDENCE)], lengths, offsets)
         highest = _highest(model, _inputs(model, fixed, distinct, grams, offsets), inverse, firsts)
-        out[at : at + len(highest)] = _sigmoid(highest.astype(np.float64))
+        out[at : at + len(highest)] = np.where(np.diff(firsts) > 0, _sigmoid(highest.astype(np.float64)), 0)
     return out
 
 

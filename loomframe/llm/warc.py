@@ -8,8 +8,11 @@ transaction: the request and the metadata name the response or revisit in
 WARC-Concurrent-To. Files are gzip, written by Spark's text writer with the
 blank lines that end a record as its separator, so they reach any store.
 
-Reading. Files are parsed record by record by Content-Length. Records of a
-transaction are joined through WARC-Concurrent-To, and a revisit through
+Files hold at most FILE_RECORDS captures, and those of one input split.
+
+Reading. Files are unpacked as a stream and parsed record by record by
+Content-Length, so a reader holds the packed file and one record. Records are
+written once without their payloads; those of a transaction are joined through WARC-Concurrent-To, and a revisit through
 WARC-Refers-To to the record that holds its payload: one nested row a capture.
 
 Defined results: a null payload is empty; empty payloads are equal to each
@@ -24,6 +27,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import uuid
 from urllib.parse import quote, urlsplit
@@ -117,22 +121,26 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payl
 
 
 def _parse(content: bytes):
-    """Yields (headers with lower-case names, block) of the records of one file, gzip (of one or many members) or plain."""
-    data = memoryview(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-    raw, at = data.obj, 0
+    """Yields (headers with lower-case names, block) of the records of one file, gzip (of one or many members) or plain; unpacked as a stream."""
+    file = io.BytesIO(content)
+    file = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20) if content[:2] == b"\x1f\x8b" else file
     while True:
-        while raw[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(raw):
+        line = file.readline()
+        while line in (b"\r\n", b"\n"):
+            line = file.readline()
+        if not line:
             return
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {line[:40]!r}")
+        head = {}
+        while (line := file.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode().partition(":")
+            head[name.strip().lower()] = value.strip()
         size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        block = file.read(size)
+        if len(block) < size:
+            raise ValueError("a record ends with its file")
+        yield head, block
 
 
 _FIELDS = [
@@ -148,7 +156,7 @@ def _read(payloads: bool):
             out, held = [], 0
             for content in batch.column(0):
                 for head, block in _parse(content.as_py()):
-                    kind, block = head["warc-type"], bytes(block)
+                    kind = head["warc-type"]
                     http, payload = None, None
                     if head.get("content-type", "").startswith("application/http"):
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -185,11 +193,12 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: capture (id as JSON), address, response (of a revisit: of the record it refers to), request, metadata.
 
-    What names a record more than once (rows repeated in the input) is
-    pre-aggregated to one, so joins don't multiply.
+    records are read three times, so give a table that is written. What names a
+    record more than once (rows repeated in the input) is pre-aggregated to the
+    one of the least id, so joins don't multiply.
     """
     side = lambda kind, name: (
-        records.filter(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("id")).agg(F.first(F.struct("record_id", "date", "head")).alias(name))
+        records.filter(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct("record_id", "date", "head")).alias(name))
     )
     main = records.filter(F.col("type").isin("response", "revisit"))
     rows = main.join(side("request", "request"), main["record_id"] == F.col("id"), "left").drop("id")
@@ -206,7 +215,7 @@ def resolve(captures: DataFrame) -> DataFrame:
     asked = captures.filter("refers_to is not null").select(F.col("refers_to").alias("id")).distinct()
     named = captures.select(F.col("response.record_id").alias("id"), F.struct("capture", "response").alias("origin"))
     # Written, so that the join can split the revisits of one payload.
-    origin = cut(named.join(asked, "id", "left_semi").groupBy("id").agg(F.first("origin").alias("origin")), "origins")
+    origin = cut(named.join(asked, "id", "left_semi").groupBy("id").agg(F.min("origin").alias("origin")), "origins")
     return captures.join(origin, captures["refers_to"] == origin["id"], "left").drop("id")
 
 
@@ -214,4 +223,4 @@ def archive(df: DataFrame, **options) -> DataFrame:
     """Write df to the shared folder and read the transactions back; payloads themselves are left out."""
     path = shared_path(df.sparkSession, "warc")
     write(df, path, **options)
-    return resolve(cut(assemble(read(df.sparkSession, path, payloads=False)), "captures"))
+    return resolve(cut(assemble(cut(read(df.sparkSession, path, payloads=False), "records")), "captures"))

@@ -50,7 +50,7 @@ class Expr:
 
     def apply(self, f, dtype: str) -> Expr:
         """f of each value, row by row in Python."""
-        return Expr(F.udf(f, dtype)(self.column))
+        return Expr(F.udf(f, dtype, useArrow=True)(self.column))
 
     def over(self, window) -> Expr:
         return Expr(window.apply(self))

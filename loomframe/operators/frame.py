@@ -334,7 +334,9 @@ class Frame:
         return self.iter_rows()
 
     def to_arrow_iter(self):
-        yield from self.df.toArrow().to_batches()
+        """Record batches, a partition at a time."""
+        for table in self.iter_partitions():
+            yield from table.to_batches()
 
     def iter_partitions(self):
         """One Arrow table a partition, fetched one after the other."""
@@ -352,11 +354,20 @@ class Frame:
         for row in self.df.mapInArrow(packed, "table binary").toLocalIterator():
             yield pa.ipc.open_stream(row.table).read_all()
 
+    def _of_rank(self, shard_strategy: str | None, world_size: int | None, rank: int | None) -> Frame:
+        """The share of one of world_size readers: by file, for frames that read files."""
+        if shard_strategy is None:
+            if world_size is not None or rank is not None:
+                raise ValueError("world_size and rank need a shard_strategy")
+            return self
+        if shard_strategy != "file" or world_size is None or rank is None or not 0 <= rank < world_size:
+            raise ValueError("shard_strategy must be 'file', with a world_size and a rank below it")
+        return self.shard(world_size, rank)
+
     def to_torch_iter_dataset(self, shard_strategy: str | None = None, world_size: int | None = None, rank: int | None = None):
+        frame = self._of_rank(shard_strategy, world_size, rank)
         from torch.utils.data import IterableDataset
 
-        frame = self
-
         class Rows(IterableDataset):
             def __iter__(self):
                 return frame.iter_rows()
@@ -364,9 +375,10 @@ class Frame:
         return Rows()
 
     def to_torch_map_dataset(self, shard_strategy: str | None = None, world_size: int | None = None, rank: int | None = None):
+        frame = self._of_rank(shard_strategy, world_size, rank)
         from torch.utils.data import Dataset
 
-        rows = self.to_pylist()
+        rows = frame.to_pylist()
 
         class Rows(Dataset):
             def __len__(self):
@@ -377,10 +389,10 @@ class Frame:
 
         return Rows()
 
-    def to_torch_dataloader(self, batch_size: int = 1, **options):
+    def to_torch_dataloader(self, batch_size: int = 1, shard_strategy: str | None = None, world_size: int | None = None, rank: int | None = None, **options):
         from torch.utils.data import DataLoader
 
-        return DataLoader(self.to_torch_map_dataset(), batch_size=batch_size, **options)
+        return DataLoader(self.to_torch_map_dataset(shard_strategy, world_size, rank), batch_size=batch_size, **options)
 
     def to_ray_dataset(self):
         raise NotImplementedError("no Ray here: write Parquet and read it there")

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "anti": "left_anti", "semi": "left_semi", "cross": "cross"}
+#: Estimated bytes up to which a side is broadcast where that is asked for.
+BROADCAST_BYTES = 256 << 20
+#: Keys that are looked at to cut an as-of join without groups into ranges: they decide how even the ranges are and nothing else.
+SAMPLED_KEYS = 10_000
 _HINT = {"hash": "shuffle_hash", "sort_merge": "merge", "broadcast": "broadcast"}
 
 
@@ -24,6 +28,18 @@ def _renamed(right: DataFrame, taken: set[str], prefix: str | None, suffix: str
     return right
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of its size permits a broadcast; a side of unknown size isn't small."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= BROADCAST_BYTES
+
+
+def _bounds(rows: DataFrame, on: str) -> list:
+    """Ends of ranges of keys of about as many rows: fewer than the partitions of a shuffle."""
+    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = sorted(r[0] for r in rows.select(on).orderBy(F.xxhash64(on), on).limit(SAMPLED_KEYS).collect())
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str, strategy: str | None, prefix: str | None, suffix: str | None, null_safe: bool = False) -> DataFrame:
     """Keys of one name merge into one column; the right side's other clashes are renamed."""
     if how not in _HOW:
@@ -35,7 +51,7 @@ def join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[s
     if not left_on:
         raise ValueError("a join needs keys")
     shared = [a for a, b in zip(left_on, right_on) if a == b]
-    hint = (lambda d: d) if strategy is None else (lambda d: d.hint(_HINT[strategy]))
+    hint = (lambda d: d) if strategy is None or strategy == "broadcast" and not _small(right) else (lambda d: d.hint(_HINT[strategy]))
     if how in ("anti", "semi"):
         r = right.select(*[F.col(f"`{b}`").alias(f"__k{i}") for i, b in enumerate(right_on)])
         on = [left[a].eqNullSafe(r[f"__k{i}"]) if null_safe else left[a] == r[f"__k{i}"] for i, a in enumerate(left_on)]
@@ -55,7 +71,9 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by
 
     Both sides are stacked and sorted once in each group, and the last (or
     first) right row is carried along: one shuffle and one sort, no pairs.
-    Rows with a null key or group match nothing.
+    Without groups the keys are cut into ranges, each a task of its own; the
+    last (first) right row of each range, a row a range, is carried over to the
+    ranges after (before) it. Rows with a null key or group match nothing.
     """
     if strategy not in ("backward", "forward", "nearest"):
         raise ValueError(f"no such strategy: {strategy}")
@@ -76,7 +94,15 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by
     )
     rows = a.unionByName(b, allowMissingColumns=True).withColumn("__side", F.col("__left").isNotNull().cast("int"))
     by = [F.col(f"__b{i}") for i in range(len(left_by))]
-    found = {}
+    found, carried = {}, None
+    if not by and (bounds := _bounds(rows, "__on")):
+        ends = F.array(*[F.lit(x) for x in bounds]).cast(f"array<{rows.schema['__on'].dataType.simpleString()}>")
+        rows = rows.withColumn("__range", F.size(F.filter(ends, lambda x: x <= F.col("__on"))))
+        by = [F.col("__range")]
+        edges = rows.filter("__side = 0").groupBy("__range").agg(F.max_by("__right", "__on").alias("__last"), F.min_by("__right", "__on").alias("__first"))
+        edges = left.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__range")).join(edges, "__range", "left")
+        others = lambda c, order: F.last(c, True).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+        carried = edges.select("__range", others("__last", F.col("__range")).alias("__before"), others("__first", F.col("__range").desc()).alias("__after"))
     if strategy != "forward":
         w = W.partitionBy(*by).orderBy(F.col("__on").asc(), F.col("__side").asc()).rowsBetween(W.unboundedPreceding, 0)
         found["back"] = F.last("__right", True).over(w)
@@ -84,6 +110,9 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_by
         w = W.partitionBy(*by).orderBy(F.col("__on").desc(), F.col("__side").asc()).rowsBetween(W.unboundedPreceding, 0)
         found["fore"] = F.last("__right", True).over(w)
     rows = rows.withColumns({f"__{k}": x for k, x in found.items()}).filter("__side = 1")
+    if carried is not None:
+        rows = rows.join(F.broadcast(carried), "__range", "left")
+        rows = rows.withColumns({f"__{k}": F.coalesce(f"__{k}", "__before" if k == "back" else "__after") for k in found})
     if strategy == "nearest":
         number = lambda x: F.unix_micros(x.cast("timestamp")) if right.schema[right_on].dataType.typeName().startswith(("timestamp", "date")) else x
         near = F.when(F.col("__fore").isNull(), F.col("__back")).when(F.col("__back").isNull(), F.col("__fore"))

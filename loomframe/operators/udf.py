@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +17,41 @@ def _call(u, args):
     return Expr(u(*[named(a) for a in args]))
 
 
-def func(return_dtype: str, max_retries: int = 0, on_error: str = "raise"):
-    """Decorates a function of one row's values; coroutines run together, batch by batch."""
+def func(return_dtype: str, max_retries: int = 0, on_error: str = "raise", max_concurrency: int | None = None):
+    """Decorates a function of one row's values; coroutines run together, batch by batch, at most max_concurrency at a time. on_error: raise, log or ignore (null)."""
+    if on_error not in ("raise", "log", "ignore"):
+        raise ValueError(f"no such on_error: {on_error}")
+
+    def failed(attempt: int, error: Exception) -> None:
+        """Raise, or go on: to the next attempt, or after the last to null."""
+        if attempt == max_retries:
+            if on_error == "raise":
+                raise error
+            if on_error == "log":
+                logging.getLogger(__name__).warning("a function failed: %r", error)
 
     def decorate(f):
         def guarded(*a):
             for attempt in range(max_retries + 1):
                 try:
                     return f(*a)
-                except Exception:
-                    if attempt == max_retries:
-                        if on_error == "raise":
-                            raise
-                        return None
+                except Exception as e:
+                    failed(attempt, e)
 
         if asyncio.iscoroutinefunction(f):
 
             async def together(rows):
-                return await asyncio.gather(*[f(*r) for r in rows])
+                free = asyncio.Semaphore(max_concurrency or max(1, len(rows)))
+
+                async def one(row):
+                    async with free:
+                        for attempt in range(max_retries + 1):
+                            try:
+                                return await f(*row)
+                            except Exception as e:
+                                failed(attempt, e)
+
+                return await asyncio.gather(*map(one, rows))
 
             def run(*columns: pd.Series) -> pd.Series:
                 return pd.Series(asyncio.run(together(list(zip(*columns)))), dtype="object")
@@ -50,7 +68,7 @@ def generator(item_dtype: str, ignore_empty: bool = False):
     """Decorates a function that yields any number of values for a row; the column explodes into rows."""
 
     def decorate(f):
-        u = F.udf(lambda *a: list(f(*a)), f"array<{item_dtype}>")
+        u = F.udf(lambda *a: list(f(*a)), f"array<{item_dtype}>", useArrow=True)
         explode = F.explode if ignore_empty else F.explode_outer
         return lambda *args: Expr(explode(u(*[named(a) for a in args])))
 

@@ -6,7 +6,7 @@ from ..functions import aggregates as A
 from ..operators import udf
 from ..operators.expr import Expr, col, lit
 from ..operators.frame import Frame
-from ..operators.window import Window
+from ..operators.window import CURRENT_ROW, UNBOUNDED_PRECEDING, Window
 from .registry import query
 
 
@@ -71,9 +71,9 @@ for _strategy in ("hash", "sort_merge", "broadcast"):
     query("SELECT c_custkey, c_nationkey, o_orderkey, o_custkey FROM customer JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")(_f)
 
 
-@query("SELECT r_regionkey, r_name, n_nationkey FROM region, nation WHERE n_nationkey < 5")
+@query("SELECT r_regionkey, r_name, n_nationkey FROM region, nation")
 def join_cross(t):
-    return t.region.join(t.nation.filter("n_nationkey < 5").select("n_nationkey"), how="cross")
+    return t.region.join(t.nation.select("n_nationkey"), how="cross")
 
 
 @query("""SELECT a.k, a.n_name, b.n_name AS "right.n_name" FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT n_regionkey AS k, n_name FROM nation WHERE n_nationkey < 10) b USING (k)""")
@@ -114,6 +114,29 @@ query(
 )(_asof("nearest"))
 
 
+_LATEST = "SELECT ts AS vts, min(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ts"
+
+
+def _asof_alone(strategy):
+    def run(t):
+        left = t.events.filter("event_type = 'purchase'").select("event_id", "ts")
+        right = t.events.filter("event_type = 'view'").groupby("ts").agg(A.min("event_id").alias("view_id")).with_column_renamed("ts", "vts")
+        return left.join_asof(right, left_on="ts", right_on="vts", strategy=strategy)
+
+    run.__name__ = f"asof_alone_{strategy}"
+    return run
+
+
+_PURCHASES = "SELECT event_id, ts FROM events WHERE event_type = 'purchase'"
+query(f"SELECT p.event_id, p.ts, v.vts, v.view_id FROM ({_PURCHASES}) p ASOF LEFT JOIN ({_LATEST}) v ON p.ts >= v.vts")(_asof_alone("backward"))
+query(f"SELECT p.event_id, p.ts, v.vts, v.view_id FROM ({_PURCHASES}) p ASOF LEFT JOIN ({_LATEST}) v ON p.ts <= v.vts")(_asof_alone("forward"))
+query(
+    f"""SELECT event_id, ts, CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) < epoch_us(fts) - epoch_us(ts) THEN bts ELSE fts END AS vts,
+               CASE WHEN fts IS NULL OR epoch_us(ts) - epoch_us(bts) < epoch_us(fts) - epoch_us(ts) THEN bid ELSE fid END AS view_id
+        FROM (SELECT p.*, b.vts AS bts, b.view_id AS bid, f.vts AS fts, f.view_id AS fid FROM ({_PURCHASES}) p ASOF LEFT JOIN ({_LATEST}) b ON p.ts >= b.vts ASOF LEFT JOIN ({_LATEST}) f ON p.ts <= f.vts)"""
+)(_asof_alone("nearest"))
+
+
 @query("""SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_quantity), 2) AS total, round(avg(l_tax), 8) AS tax, min(l_shipdate) AS first_ship,
           max(l_extendedprice) AS most, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag""")
 def aggregate_basic(t):
@@ -155,13 +178,8 @@ def aggregate_booleans_modes(t):
     )
 
 
-@query("SELECT c_nationkey, product(1 + c_nationkey % 2) AS p FROM customer WHERE c_custkey % 20 = 0 GROUP BY c_nationkey")
-def aggregate_product(t):
-    return t.customer.filter("c_custkey % 20 = 0").groupby("c_nationkey").agg(A.product(lit(1) + col("c_nationkey") % 2).alias("p"))
-
-
 @query("SELECT c_nationkey, product(1 - 2 * (c_custkey % 2)) AS p FROM customer GROUP BY c_nationkey")
-def aggregate_product_whole(t):
+def aggregate_product(t):
     # Factors of 1 and -1: every row counts, and no number of rows overflows.
     return t.customer.groupby("c_nationkey").agg(A.product(lit(1) - lit(2) * (col("c_custkey") % 2)).alias("p"))
 
@@ -233,19 +251,12 @@ def window_range_frame(t):
     return t.events.select("event_id", last_hour=w.apply(A.count()))
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 400", "SELECT s_nationkey AS k FROM supplier"
 for _name, _op in {"union": "UNION", "union_all": "UNION ALL", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except_distinct": "EXCEPT", "except_all": "EXCEPT ALL"}.items():
-    def _f(t, name=_name):
-        return getattr(t.customer.filter("c_custkey < 400").select(k=col("c_nationkey")), name)(t.supplier.select(k=col("s_nationkey")))
-
-    _f.__name__ = f"set_{_name}"
-    query(f"{_A} {_op} {_B}")(_f)
-
     def _f(t, name=_name):
         return getattr(t.customer.select(k=col("c_nationkey")), name)(t.supplier.select(k=col("s_nationkey")))
 
-    _f.__name__ = f"set_{_name}_whole"
-    query(f"SELECT c_nationkey AS k FROM customer {_op} {_B}")(_f)
+    _f.__name__ = f"set_{_name}"
+    query(f"SELECT c_nationkey AS k FROM customer {_op} SELECT s_nationkey AS k FROM supplier")(_f)
 
 
 @query("SELECT n_name, n_regionkey, NULL AS r_name FROM nation UNION ALL BY NAME SELECT r_name, r_regionkey AS n_regionkey FROM region")
@@ -358,3 +369,46 @@ def event_sessions(t):
     from ..streaming.windows import sessions
 
     return sessions(t.events.df, "ts", "6 hours", ["user_id"], {"n": F.count(F.lit(1))})
+
+
+@query("SELECT s_suppkey AS id, 'balance' AS variable, s_acctbal AS value FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier WHERE s_acctbal > 0")
+def frame_aliases(t):
+    rows = t.supplier.where(col("s_acctbal") > 0).select("s_suppkey", balance=col("s_acctbal"), nation=col("s_nationkey").cast("double"))
+    return rows.with_columns_renamed({"s_suppkey": "id"}).melt("id", ["balance", "nation"]).unique()
+
+
+@query("""SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, avg(n_nationkey) AS mean FROM nation GROUP BY n_regionkey""")
+def grouped_text(t):
+    return t.nation.sort("n_name").groupby("n_regionkey").agg(F.array_join(F.array_sort(F.split(A.string_agg("n_name", "|"), "[|]")), "|").alias("names"), A.avg("n_nationkey").alias("mean"))
+
+
+@query("""SELECT count(*) AS n, sum(o_totalprice)::DECIMAL(20, 2) AS total, list_sort(list(DISTINCT o_orderstatus)) AS states, max(len(o_orderpriority)) AS longest FROM orders""")
+def frame_aggregates(t):
+    rows = t.orders.shuffle(seed=2)
+    states = rows.select("o_orderstatus").agg_set("o_orderstatus").select(states=Expr(F.array_sort("o_orderstatus")))
+    sums = rows.agg(A.count().alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(20,2)").alias("total"), A.max(F.length("o_orderpriority")).alias("longest"))
+    return sums.join(states, how="cross")
+
+
+@query("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::DECIMAL(20, 2) AS running FROM orders")
+def expression_over(t):
+    price = Expr(F.col("o_totalprice").cast("decimal(18,2)"))
+    w = Window().partition_by("o_custkey").order_by("o_orderkey").rows_between(UNBOUNDED_PRECEDING, CURRENT_ROW)
+    return t.orders.select("o_orderkey", running=Expr(price.sum().over(w).column.cast("decimal(20,2)")))
+
+
+@query("SELECT n_nationkey, upper(n_name) || n_regionkey AS named, CASE WHEN n_regionkey = 0 THEN NULL ELSE 10 // n_regionkey END AS tenth FROM nation")
+def udf_async_retries(t):
+    calls = {}
+
+    async def named(name, region):
+        calls[name] = calls.get(name, 0) + 1
+        if calls[name] == 1:
+            raise OSError("try again")
+        return f"{name.upper()}{region}"
+
+    async def tenth(region):
+        return 10 // region
+
+    two, one = udf.func("string", max_retries=1, max_concurrency=4)(named), udf.func("int", on_error="ignore")(tenth)
+    return t.nation.select("n_nationkey", named=two("n_name", "n_regionkey"), tenth=one("n_regionkey"))

@@ -101,26 +101,21 @@ def string_search(t):
 
 
 @query("""SELECT a.n_nationkey AS x, b.n_nationkey AS y, levenshtein(a.n_name, b.n_name) AS levenshtein, round(jaro_similarity(a.n_name, b.n_name), 9) AS jaro, round(jaro_winkler_similarity(a.n_name, b.n_name), 9) AS winkler,
-          damerau_levenshtein(a.n_name, b.n_name) AS damerau, CASE WHEN length(a.n_name) = length(b.n_name) THEN hamming(a.n_name, b.n_name) END AS hamming FROM nation a, (SELECT * FROM nation WHERE n_nationkey < 6) b""")
+          damerau_levenshtein(a.n_name, b.n_name) AS damerau, CASE WHEN length(a.n_name) = length(b.n_name) THEN hamming(a.n_name, b.n_name) END AS hamming FROM nation a, nation b""")
 def string_distances(t):
-    a, b = t.nation.select(x=col("n_nationkey"), p=col("n_name")), t.nation.filter("n_nationkey < 6").select(y=col("n_nationkey"), q=col("n_name"))
+    a, b = t.nation.select(x=col("n_nationkey"), p=col("n_name")), t.nation.select(y=col("n_nationkey"), q=col("n_name"))
     p, q = col("p"), col("q")
     return a.join(b, how="cross").select(
         "x", "y", levenshtein=p.levenshtein_distance(q), jaro=p.jaro_similarity(q).round(9), winkler=p.jaro_winkler_similarity(q).round(9), damerau=p.damerau_levenshtein_distance(q), hamming=p.hamming_distance_str(q)
     )
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents WHERE doc_id % 10 = 0""")
-def string_normalize(t):
-    return _normalized(t.documents.filter("doc_id % 10 = 0"))
-
-
 def _normalized(documents):
     return documents.select("doc_id", normalized=col("text").normalize(remove_punct=True, lowercase=True, white_space=True))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents""")
-def string_normalize_whole(t):
+def string_normalize(t):
     return _normalized(t.documents)
 
 
@@ -191,30 +186,10 @@ def temporal_zones(t):
     )
 
 
-_WORDS = "(SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id % 5 = 0)"
-
-
-def _words(t):
-    return t.documents.filter("doc_id % 5 = 0").select("doc_id", w=col("text").split(" "))
-
-
-@query(f"""SELECT doc_id, array_to_string(w[1:4], '|') AS list_join, len(w) AS list_count, list_sort(w) AS list_sort, list_distinct_sorted AS list_distinct, list_contains(w, 'the') AS list_contains, w[1:3] AS slice, w[2] AS get,
-          w[-1] AS get_last, list_append(w[1:2], 'end') AS list_append, list_transform(w[1:3], lambda x: reverse(x)) AS list_map, list_filter(w, lambda x: length(x) > 10) AS list_filter, len(list_distinct(w)) AS list_count_distinct
-          FROM (SELECT *, list_sort(list_distinct(w)) AS list_distinct_sorted FROM {_WORDS})""")
-def list_basic(t):
-    w = col("w")
-    head = Expr(L.slice(w.column, 0, 4))
-    return _words(t).select(
-        "doc_id", list_join=head.list_join("|"), list_count=w.list_count(), list_sort=w.list_sort(), list_distinct=w.list_distinct().list_sort(), list_contains=w.list_contains("the"), slice=Expr(L.slice(w.column, 0, 3)), get=Expr(L.get(w.column, 1)),
-        get_last=Expr(L.get(w.column, -1)), list_append=Expr(L.list_append(L.slice(w.column, 0, 2), F.lit("end"))), list_map=Expr(L.list_map(L.slice(w.column, 0, 3), F.reverse)),
-        list_filter=Expr(L.list_filter(w.column, lambda x: F.length(x) > 10)), list_count_distinct=w.list_count_distinct(),
-    )
-
-
 @query("""SELECT doc_id, array_to_string(w, '|') AS list_join, len(w) AS list_count, list_sort(w) AS list_sort, list_sort(list_distinct(w)) AS list_distinct, list_contains(w, 'the') AS list_contains, w[1:3] AS slice, w[2] AS get, w[-1] AS get_last,
           list_append(w, 'end') AS list_append, list_transform(w, lambda x: reverse(x)) AS list_map, list_filter(w, lambda x: length(x) > 10) AS list_filter, len(list_distinct(w)) AS list_count_distinct
           FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")
-def list_basic_whole(t):
+def list_basic(t):
     w = col("w")
     return t.documents.select("doc_id", w=col("text").split(" ")).select(
         "doc_id", list_join=w.list_join("|"), list_count=w.list_count(), list_sort=w.list_sort(), list_distinct=w.list_distinct().list_sort(), list_contains=w.list_contains("the"), slice=Expr(L.slice(w.column, 0, 3)), get=Expr(L.get(w.column, 1)),
@@ -270,20 +245,14 @@ def _pairs(t, queries):
     return t.embeddings.select(i=col("vec_id"), x=col("embedding")).join(t.embeddings.filter(queries).select(j=col("vec_id"), y=col("embedding")), how="cross")
 
 
-_E = "(SELECT a.vec_id AS i, b.vec_id AS j, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b)"
-#: The query set of the _whole searches.
+_E = "(SELECT a.vec_id AS i, b.vec_id AS j, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b)"
+#: The query set of the searches.
 _EVERY = "vec_id % 50 = 0"
 
 
 @query(f"""SELECT i, j, round(list_dot_product(x, y), 6) AS dot_product, round(list_cosine_similarity(x, y), 6) AS cosine_similarity, round(list_cosine_distance(x, y), 6) AS cosine_distance, round(list_distance(x, y), 6) AS euclidean_distance,
            CAST(bit_count(xor(i, j)) AS INTEGER) AS hamming_distance FROM {_E}""")
 def vector_distances(t):
-    return _distances(_pairs(t, "vec_id < 5"))
-
-
-@query(f"""SELECT i, j, round(list_dot_product(x, y), 6) AS dot_product, round(list_cosine_similarity(x, y), 6) AS cosine_similarity, round(list_cosine_distance(x, y), 6) AS cosine_distance, round(list_distance(x, y), 6) AS euclidean_distance,
-           CAST(bit_count(xor(i, j)) AS INTEGER) AS hamming_distance FROM {_E.replace('vec_id < 5', _EVERY)}""")
-def vector_distances_whole(t):
     return _distances(_pairs(t, _EVERY))
 
 
@@ -293,13 +262,8 @@ def _distances(pairs):
     return pairs.select("i", "j", **each, hamming_distance=col("i").hamming_distance(col("j")))
 
 
-@query(f"""SELECT i, j, round((SELECT corr(u, v) FROM (SELECT unnest(x) AS u, unnest(y) AS v)), 6) AS pearson_correlation, 1.0::DOUBLE AS jaccard_similarity FROM {_E.replace('vec_id < 5', 'vec_id < 2')}""")
+@query(f"""SELECT i, j, round((SELECT corr(u, v) FROM (SELECT unnest(x) AS u, unnest(y) AS v)), 6) AS pearson_correlation, 1.0::DOUBLE AS jaccard_similarity FROM {_E}""")
 def vector_correlations(t):
-    return _correlations(_pairs(t, "vec_id < 2"))
-
-
-@query(f"""SELECT i, j, round((SELECT corr(u, v) FROM (SELECT unnest(x) AS u, unnest(y) AS v)), 6) AS pearson_correlation, 1.0::DOUBLE AS jaccard_similarity FROM {_E.replace('vec_id < 5', _EVERY)}""")
-def vector_correlations_whole(t):
     return _correlations(_pairs(t, _EVERY))
 
 
@@ -308,14 +272,8 @@ def _correlations(pairs):
     return pairs.select("i", "j", pearson_correlation=x.pearson_correlation(y).round(6), jaccard_similarity=x.jaccard_similarity(y))
 
 
-@query("""SELECT i, j, d FROM (SELECT i, j, round(list_distance(x, y), 6) AS d, row_number() OVER (PARTITION BY j ORDER BY round(list_distance(x, y), 6), i) AS n FROM (
-          SELECT a.vec_id AS i, b.vec_id AS j, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 5) b)) WHERE n <= 3""")
+@query(f"""SELECT i, j, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY j ORDER BY d, i) AS n FROM (SELECT i, j, round(list_distance(x, y), 6) AS d FROM {_E})) WHERE n <= 3""")
 def vector_top_k(t):
-    return _nearest(_pairs(t, "vec_id < 5"))
-
-
-@query(f"""SELECT i, j, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY j ORDER BY d, i) AS n FROM (SELECT i, j, round(list_distance(x, y), 6) AS d FROM {_E.replace('vec_id < 5', _EVERY)})) WHERE n <= 3""")
-def vector_top_k_whole(t):
     return _nearest(_pairs(t, _EVERY))
 
 
@@ -376,13 +334,8 @@ def mime_types(t):
     return t.pages.select("page_id", kind=Expr(L.guess_mime_type(F.concat(F.lit("<html"), F.col("html")).cast("binary"))))
 
 
-@query("SELECT p_partkey, 4 AS height, 4 AS width, 3 AS channel, 'L' AS gray, 2 AS small, true AS same FROM part WHERE p_partkey <= 20")
-def images(t):
-    return _images(t.part.filter("p_partkey <= 20"))
-
-
 @query("SELECT p_partkey, 4 AS height, 4 AS width, 3 AS channel, 'L' AS gray, 2 AS small, true AS same FROM part")
-def images_whole(t):
+def images(t):
     return _images(t.part)
 
 
@@ -405,13 +358,8 @@ def model_functions(t):
     return t.benchmark.select("item_id", vector=Expr(L.embed_text(x)), label=Expr(L.classify_text(x, ["one", "two"])), answer=Expr(L.prompt(x)))
 
 
-@query("SELECT doc_id, text AS back FROM documents WHERE doc_id % 20 = 0")
-def tokenizer_round_trip(t):
-    return _round_trip(t.documents.filter("doc_id % 20 = 0"))
-
-
 @query("SELECT doc_id, text AS back FROM documents")
-def tokenizer_round_trip_whole(t):
+def tokenizer_round_trip(t):
     return _round_trip(t.documents)
 
 

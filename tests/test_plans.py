@@ -61,7 +61,7 @@ def test_catalog_and_table_functions(spark, sf, tmp_path):
     assert s.sql(f"SELECT count(*) AS n FROM '{sf}/nation.parquet'").to_pylist() == [{"n": 25}]
 
 
-@pytest.mark.parametrize("name", ["string_normalize_whole", "list_basic_whole", "tokenizer_round_trip_whole"])
+@pytest.mark.parametrize("name", ["string_normalize", "list_basic", "tokenizer_round_trip"])
 def test_whole_queries_keep_every_document(spark, sf, name):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(QUERIES[name](spark, sf)) == ids(spark.read.parquet(f"{sf}/documents.parquet"))
@@ -70,11 +70,11 @@ def test_whole_queries_keep_every_document(spark, sf, name):
 def test_whole_lists_reach_the_last_word(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(9))
     spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    (r,) = QUERIES["list_basic_whole"](spark, str(tmp_path)).collect()
+    (r,) = QUERIES["list_basic"](spark, str(tmp_path)).collect()
     assert r.list_join == text.replace(" ", "|") and r.list_append == [*text.split(), "end"] and r.list_map == [w[::-1] for w in text.split()]
 
 
-@pytest.mark.parametrize("name", ["vector_top_k_whole", "vector_distances_whole", "vector_correlations_whole"])
+@pytest.mark.parametrize("name", ["vector_top_k", "vector_distances", "vector_correlations"])
 def test_whole_searches_take_every_query(spark, sf, name):
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     assert {r.j for r in QUERIES[name](spark, sf).select("j").distinct().collect()} == {i for i in ids if i % 50 == 0} > {0}
@@ -86,7 +86,51 @@ def test_whole_queries_see_large_keys(spark, tmp_path):
     spark.range(3).selectExpr("id s_suppkey", "1 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.range(19, 24).selectExpr("id p_partkey", "cast(id as int) p_size").write.parquet(f"{tmp_path}/part.parquet")
     run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
-    assert run("aggregate_product_whole") == [(0, 1.0), (1, -1.0)]
-    assert run("set_union_whole") == [(0,), (1,)] and run("set_intersect_whole") == [(1,)] and run("set_intersect_all_whole") == [(1,)] * 3 and run("set_except_distinct_whole") == [(0,)]
-    assert len(run("set_union_all_whole")) == 8004 and len(run("set_except_all_whole")) == 7998
-    assert [r[0] for r in run("images_whole")] == [19, 20, 21, 22, 23]
+    assert run("aggregate_product") == [(0, 1.0), (1, -1.0)]
+    assert run("set_union") == [(0,), (1,)] and run("set_intersect") == [(1,)] and run("set_intersect_all") == [(1,)] * 3 and run("set_except_distinct") == [(0,)]
+    assert len(run("set_union_all")) == 8004 and len(run("set_except_all")) == 7998
+    assert [r[0] for r in run("images")] == [19, 20, 21, 22, 23]
+
+
+def test_asof_without_groups_has_no_single_partition_of_rows(spark, sf):
+    """Rows are dealt by range; only the table of a row a range is gathered."""
+    import re
+
+    df = QUERIES["asof_alone_backward"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__range" in plan
+    for m in re.finditer(r"Exchange SinglePartition", plan):
+        assert "Range (0" in plan[m.end() :]
+
+
+def test_asof_without_groups_matches_a_loop(spark):
+    import bisect
+    import random
+
+    from loomframe.operators.frame import Frame
+
+    rng = random.Random(3)
+    for kinds in ("long", "double", "string"):
+        make = {"long": lambda: rng.randrange(300), "double": lambda: rng.random(), "string": lambda: f"{rng.randrange(500):04}"}[kinds]
+        lefts, rights = [make() if rng.random() > 0.05 else None for _ in range(400)], sorted({make() for _ in range(60)})
+        a, b = spark.createDataFrame([(x,) for x in lefts], f"x {kinds}"), spark.createDataFrame([(y, str(y)) for y in rights] + [(None, "none")], f"y {kinds}, said string")
+        for strategy in ("backward", "forward"):
+            got = sorted(((r.x, r.y, r.said) for r in Frame(a).join_asof(Frame(b), left_on="x", right_on="y", strategy=strategy).df.collect()), key=repr)
+            want = []
+            for x in lefts:
+                i = None if x is None else bisect.bisect_right(rights, x) - 1 if strategy == "backward" else bisect.bisect_left(rights, x)
+                y = rights[i] if i is not None and 0 <= i < len(rights) else None
+                want.append((x, y, None if y is None else str(y)))
+            assert got == sorted(want, key=repr)
+
+
+def test_torch_shards_are_checked(spark, sf):
+    import pytest
+
+    from loomframe.operators.frame import Frame
+
+    orders = Frame(spark.read.parquet(f"{sf}/orders.parquet"))
+    for options in ({"world_size": 2, "rank": 0}, {"shard_strategy": "row", "world_size": 2, "rank": 0}, {"shard_strategy": "file", "world_size": 2, "rank": 2}):
+        with pytest.raises(ValueError):
+            orders._of_rank(options.get("shard_strategy"), options.get("world_size"), options.get("rank"))
+    assert sum(orders._of_rank("file", 3, i).count_rows() for i in range(3)) == orders.count_rows() == sum(b.num_rows for b in orders.to_arrow_iter())

@@ -23,20 +23,30 @@ least ``percent`` / 100. Exact in shingle hashes of 64 bits.
    of near copies costs about one verification a member, and no link between
    components is lost.
 
+6. Where links are counted, the classes of each component are cut into cells
+   by size (only equal or neighbouring sizes can link) and blocks; every two
+   blocks meet in one task, which intersects whole sets and gives one sum a
+   class. No pair is emitted; the work is the square of a component's
+   different texts, so callers that need components alone leave it out.
+
 Verification sends each candidate's text to its hub (a hub with many is
 salted) and intersects whole sets. Nothing is capped.
 
 Defined results: null or blank texts have no shingles and link with nothing.
-Rows that share an id are one node: a link of either counts for both. A null
-id links with nothing and has a null component. Repeated rows and extra
-columns change nothing; an empty table gives an empty table.
+Rows that share an id are one node: a link of either counts for both. Links
+are counted by row: how many other rows with an id a row links with, its own
+copies and those of its partners included. A null id links with nothing, has
+a null component and no links. Extra columns change nothing; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
@@ -53,19 +63,27 @@ BROADCAST_IDS = 500_000
 LONGEST, VERIFY = 16, 24
 #: Texts that one salt of a hub takes.
 HUB_ROWS = 200
+#: Of a block in which links are counted: classes and shingles, about; smaller cells are cut into blocks of FINE classes, up to FEW of them.
+BLOCK_ROWS, BLOCK_SHINGLES, FINE, FEW = 2048, 1_500_000, 128, 8
+#: Rows up to which classes and blocks are broadcast (under 100 bytes each).
+BROADCAST_CLASSES = 100_000
 
 ship(__name__)
 
 
+def _print(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and fingerprint of a set."""
+    return len(s), int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _fingerprints(n: int):
     def run(batches):
         release()
         for batch in batches:
             size, f1, f2 = [], [], []
             for _, s in shingle_sets(batch.column(1), n):
-                size.append(len(s))
-                f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                f2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                for values, value in zip((size, f1, f2), _print(s)):
+                    values.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64())], ["id", "size", "f1", "f2"]
             )
@@ -224,6 +242,104 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _meet(left: dict, right: dict | None, percent: int) -> list[tuple]:
+    """Sides are {class: (rows, set)}. Rows (class, rows of the other side's classes that it links with); without right, of its own side's."""
+    other = left if right is None else right
+    if not left or not other:
+        return []
+    rows = np.array([r for r, _ in other.values()], np.int64)
+    sizes = np.array([len(s) for _, s in other.values()], np.int64)
+    known, at = np.unique(np.concatenate([s for _, s in other.values()]), return_inverse=True)
+    starts, marks = np.cumsum(sizes) - sizes, np.zeros(len(known), bool)
+    back, out = np.zeros(len(sizes), np.int64), []
+    for i, (name, (weight, s)) in enumerate(left.items()):
+        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        place = place[known[place] == s]
+        marks[place] = True
+        shared = np.add.reduceat(marks[at], starts, dtype=np.int64)
+        marks[place] = False
+        linked = 100 * shared >= percent * (len(s) + sizes - shared)
+        if right is None:
+            linked[i] = False
+        out.append((name, int(rows[linked].sum())))
+        back[linked] += weight
+    return out if right is None else out + list(zip(other, back.tolist()))
+
+
+def _tally(n: int, percent: int):
+    """Rows sorted by two blocks and the side: one sum for each class of either block that links with some of the other."""
+
+    def flush(key, sides):
+        met = _meet(sides[0], None if key[1:3] == key[3:5] else sides[1], percent)
+        columns = zip(*((*name, links) for name, links in met if links))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] or [pa.array([], pa.int64())] * 4, ["size", "f1", "f2", "links"])
+
+    def run(batches):
+        release()
+        current, sides = None, ({}, {})
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
+            side, rows = batch.column("side").to_pylist(), batch.column("rows").to_pylist()
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("size", "f1", "f2"))))
+            for row, s in shingle_sets(batch.column("text"), n):
+                if keys[row] != current:
+                    if current is not None:
+                        yield flush(current, sides)
+                    current, sides = keys[row], ({}, {})
+                # Another text of the same id isn't this class, and a repeated row is it again.
+                if names[row] not in sides[side[row]] and _print(s) == names[row]:
+                    sides[side[row]][names[row]] = (rows[row], s)
+        if current is not None:
+            yield flush(current, sides)
+        sides = None
+        trim()
+
+    return run
+
+
+def _short(rows: DataFrame) -> DataFrame:
+    """rows, written and to be broadcast while they are few."""
+    rows = cut(rows, "classes")
+    return F.broadcast(rows) if rows.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else rows
+
+
+def _links(texts: DataFrame, classes: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame:
+    """classes: (size, f1, f2, first, rows). Returns (size, f1, f2, links): links of one row of each class that has some."""
+    # Two sizes that can link are no further apart than one width; a little more, for rounding.
+    width = 1.001 * max(math.log(100 / percent), 0.01)
+    reps = classes.join(found.select(F.col("id").alias("first"), "component"), "first").withColumn("band", F.floor(F.log("size") / width))
+    reps = cut(reps, "reps")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_SHINGLES), F.least(F.ceil(F.col("n") / FINE), F.lit(FEW)))
+    cells = reps.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).withColumn("blocks", blocks.cast("long"))
+    by = Window.partitionBy("component").orderBy("band")  # as many rows as a component has bands
+    above = F.when(F.lead("band").over(by) == F.col("band") + 1, F.lead("blocks").over(by))
+    below = F.when(F.lag("band").over(by) == F.col("band") - 1, F.lag("blocks").over(by))
+    cells = cells.select("component", "band", "n", "blocks", F.coalesce(above, F.lit(0)).alias("above"), F.coalesce(below, F.lit(0)).alias("below"))
+    cells = _short(cells.filter("n > 1 or above > 0 or below > 0"))
+
+    def meetings(count, place):
+        """For each of count blocks, what place makes of its number."""
+        return F.filter(F.transform(F.sequence(F.lit(0).cast("long"), count), lambda o: F.when(o < count, place(o))), lambda m: m.isNotNull())
+
+    def meeting(band, low, band2, high, side):
+        return F.struct(band.alias("band"), low.alias("low"), band2.alias("band2"), high.alias("high"), side.cast("long").alias("side"))
+
+    band, block = F.col("band"), F.col("block")
+    own = meetings(F.when(F.col("n") > 1, F.col("blocks")).otherwise(0), lambda o: meeting(band, F.least(block, o), band, F.greatest(block, o), o < block))
+    up = meetings(F.col("above"), lambda o: meeting(band, block, band + 1, o, F.lit(0)))
+    down = meetings(F.col("below"), lambda o: meeting(band - 1, o, band, block, F.lit(1)))
+    members = reps.join(cells, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("size", "f1", "f2"), "blocks"))
+    members = members.select("component", "size", "f1", "f2", "rows", F.col("first").alias("id"), F.explode(F.concat(own, up, down)).alias("m"))
+    key = ["component", "band", "low", "band2", "high"]
+    members = members.select("id", "component", *[f"m.{c}" for c in (*key[1:], "side")], "size", "f1", "f2", "rows")
+    rows = texts.filter("id is not null").join(_short(members), "id").select(*key, "side", "size", "f1", "f2", "rows", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "side")
+    near = rows.mapInArrow(_tally(n, percent), "size long, f1 long, f2 long, links long")
+    near = cut(near.groupBy("size", "f1", "f2").agg(F.sum("links").alias("links")), "near")
+    total = F.col("rows") - 1 + F.coalesce("links", F.lit(0))
+    return classes.join(near, ["size", "f1", "f2"], "left").select("size", "f1", "f2", total.alias("links")).filter("links > 0")
+
+
 def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """rows joined with ids on id; ids is broadcast while it is short."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -242,15 +358,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return cut(rows.mapInArrow(_verify(n, percent), "a long, b long").distinct(), "links")
 
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: id, size (of its set), component (least id of its group)."""
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, links: bool = False) -> DataFrame:
+    """One row per input row: id, size (of its set), component (least id of its group) and, if asked for, links (the number of other rows it links with)."""
     texts = df.select(col(key).cast("long").alias("id"), col(text).cast("string").alias("text"))
     prints = cut(texts.mapInArrow(_fingerprints(n), "id long, size long, f1 long, f2 long"), "prints")
 
     real = prints.filter("id is not null and size > 0")
     # Written, so that the join deals out both sides itself and can split a large class.
-    first = cut(real.groupBy("size", "f1", "f2").agg(F.min("id").alias("first")), "first")
-    copies = cut(real.join(first, ["size", "f1", "f2"]).select("id", "first").distinct(), "copies")
+    classes = cut(real.groupBy("size", "f1", "f2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")), "first")
+    copies = cut(real.join(classes.drop("rows"), ["size", "f1", "f2"]).select("id", "first").distinct(), "copies")
     total = real.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
     aside = cut(copies.groupBy("id").agg(F.max(F.col("id") == F.col("first")).alias("is_first")).filter("not is_first").select("id"), "aside")
@@ -292,9 +408,13 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     )
     rest = _verified(alone, pairs, n, percent)
 
-    links = stars.union(rest).union(copies.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
-    found = components(links).withColumnRenamed("node", "id")
-    return prints.select("id", "size").join(found, "id", "left").select("id", "size", F.coalesce("component", "id").alias("component"))
+    edges = stars.union(rest).union(copies.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    found = components(edges).withColumnRenamed("node", "id")
+    result = ["id", "size", F.coalesce("component", "id").alias("component")]
+    if not links:
+        return prints.select("id", "size").join(found, "id", "left").select(*result)
+    counted = prints.join(_short(_links(texts, classes, found, n, percent)), ["size", "f1", "f2"], "left").join(found, "id", "left")
+    return counted.select(*result, F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).alias("links"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:

@@ -13,8 +13,8 @@ MIX = [3.0, 1.0, 2.0]
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.similar(documents(spark, sf_dir))
-    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+    found = jaccard.similar(documents(spark, sf_dir), links=True)
+    return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,8 @@ ORACLE_SQL = {
         l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT r.start, e.b FROM r JOIN e ON r.node = e.a)
-        SELECT start AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n ON n.doc_id = start GROUP BY start""",
+        SELECT start AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(node) AS component_id, (SELECT count(*) FROM e WHERE e.a = start) AS n_links
+        FROM r LEFT JOIN n ON n.doc_id = start GROUP BY start""",
     "op4_warc_transactions": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hexed FROM pages),
         o AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS origin FROM p)

@@ -80,10 +80,41 @@ def test_jaccard_matches_brute_force(odd):
     assert {(r.id, r.size, r.component) for r in got} == {(r[0], len(shingles(r[1])), want.get(r[0])) for r in rows}
 
 
+def brute_links(rows, percent=75):
+    """Of each row, how many others it links with."""
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    return [0 if i is None else sum(j is not None and a != b and bool(linked(sets[a], sets[b])) for b, (j, _) in enumerate(rows)) for a, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("sizes", [(2048, 1_500_000, 128, 8), (5, 1_500_000, 2, 3), (2048, 400, 128, 8)])
+def test_jaccard_counts_links(odd, sizes, monkeypatch):
+    """In one block, in many small ones, and in blocks bounded by their shingles."""
+    for name, value in zip(("BLOCK_ROWS", "BLOCK_SHINGLES", "FINE", "FEW"), sizes):
+        monkeypatch.setattr(jaccard, name, value)
+    df, rows = odd
+    got = jaccard.similar(df, links=True).collect()
+    want = Counter((r[0], len(shingles(r[1])), n) for r, n in zip(rows, brute_links([r[:2] for r in rows])))
+    assert Counter((r.id, r.size, r.links) for r in got) == want
+    assert max(n for _, _, n in want) > 20
+
+
+def test_jaccard_links_across_sizes(spark):
+    """Pairs exactly at the limit, whose sizes differ as far as they can; ids with two texts; copies under other ids."""
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(i, word(0, 4 + k)) for i, k in enumerate((3, 4, 6, 8, 12, 16, 27, 36, 48, 64, 75, 100, 300, 400))]
+    rows += [(20, word(0, 40)), (20, word(500, 540)), (21, word(500, 540)), (21, word(500, 540)), (None, word(500, 540)), (22, word(0, 68))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (75, 100, 50):
+        got = jaccard.similar(df, percent=percent, links=True).collect()
+        assert Counter((r.id, r.size, r.links) for r in got) == Counter((i, len(shingles(t)), n) for (i, t), n in zip(rows, brute_links(rows, percent)))
+
+
 def test_jaccard_on_the_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in Q.documents(spark, sf).collect()]
-    want = brute_components(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op1_ngram_jaccard_join(spark, sf).collect()} == {i: (len(shingles(t)), want[i]) for i, t in rows}
+    want, links = brute_components(rows), brute_links(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in Q.op1_ngram_jaccard_join(spark, sf).collect()}
+    assert got == {i: (len(shingles(t)), want[i], n) for (i, t), n in zip(rows, links)}
 
 
 def test_representatives_keep_one_of_each_group(odd):

@@ -110,6 +110,12 @@ def test_jaccard_links_across_sizes(spark):
         assert Counter((r.id, r.size, r.links) for r in got) == Counter((i, len(shingles(t)), n) for (i, t), n in zip(rows, brute_links(rows, percent)))
 
 
+def test_jaccard_links_of_blank_and_lonely_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (None, None), (4, "one text of five words"), (None, "one text of five words")], "doc_id long, text string")
+    got = Counter((r.id, r.size, r.component, r.links) for r in jaccard.similar(df, links=True).collect())
+    assert got == Counter([(1, 0, 1, 0), (2, 0, 2, 0), (3, 0, 3, 0), (None, 0, None, 0), (4, 1, 4, 0), (None, 1, None, 0)])
+
+
 def test_jaccard_on_the_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in Q.documents(spark, sf).collect()]
     want, links = brute_components(rows), brute_links(rows)
@@ -489,7 +495,7 @@ def test_empty_tables(spark, empty, tmp_path):
     from loomframe.llm import bpe
 
     for out in (
-        jaccard.similar(empty), jaccard.representatives(empty), exact_dedup.exact_dedup(empty), exact_dedup.kept_documents(empty), sharding.shard(empty, [1.0] * 4), mixture.mix(empty, Q.MIX), mixture.emit(empty, Q.MIX),
+        jaccard.similar(empty), jaccard.similar(empty, links=True), jaccard.representatives(empty), exact_dedup.exact_dedup(empty), exact_dedup.kept_documents(empty), sharding.shard(empty, [1.0] * 4), mixture.mix(empty, Q.MIX), mixture.emit(empty, Q.MIX),
         pii.replace(empty), isomedia.inspect(isomedia.write_media(empty)), bpe.round_trip(empty, ranks, pattern), toxicity.score(empty, None), toxicity.accepted(empty, None), substring.remove_repeats(empty),
         warc.archive(spark.createDataFrame([], "page_id long, url string, html string")),
     ):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -112,9 +114,9 @@ def hash(*exprs, seed: int | None = None, hash_function: str = "xxhash64"):
     columns = [c(x) for x in exprs]
     if seed is not None:
         columns = [F.lit(seed).cast("long"), *columns]
-    if hash_function.startswith("xx"):
+    if hash_function in ("xxhash64", "xxhash32", "xxhash3_64"):
         return F.xxhash64(*columns)
-    if hash_function.startswith("murmur"):
+    if hash_function == "murmurhash3":
         return F.hash(*columns).cast("long")
     if hash_function == "sha1":
         text = F.concat_ws("\u0001", *[F.coalesce(x.cast("string"), F.lit("\u0000")) for x in columns])
@@ -131,15 +133,37 @@ def _permutations(n: int, seed: int) -> list[tuple[int, int]]:
     return [(draw(i, "a") + 1, draw(i, "b")) for i in range(n)]
 
 
+#: Hashes of a block of n-grams at a time, so that a text of any length needs the same memory.
+_BLOCK = 4096
+
+
+def _hasher(name: str):
+    """A function of bytes that gives 64 bits (32 for the shorter ones)."""
+    import xxhash
+
+    from .partitioning import murmur3
+
+    known = {
+        "xxhash64": xxhash.xxh64_intdigest, "xxhash32": xxhash.xxh32_intdigest, "xxhash3_64": xxhash.xxh3_64_intdigest, "murmurhash3": murmur3, "sha1": lambda b: int.from_bytes(hashlib.sha1(b).digest()[:8], "little"),
+    }
+    if name not in known:
+        raise ValueError(f"no such hash: {name}; there are {', '.join(known)}")
+    return known[name]
+
+
+def _blocks(items, f, mask: int):
+    """Arrays of the hashes of the items, a block at a time."""
+    for some in batched(items, _BLOCK):
+        yield np.array([f(x.encode()) & mask for x in some], np.uint64)
+
+
 @public
 def minhash(text, num_hashes: int = 64, ngram_size: int = 1, seed: int = 1, hash_function: str = "xxhash64"):
     """The least of each of num_hashes permutations over hashes of word n-grams, as 32-bit numbers."""
-    import xxhash
-
+    _hasher(hash_function)
     pairs = _permutations(num_hashes, seed)
     a, b = (np.array([p[i] for p in pairs], dtype=object) for i in (0, 1))
-    low_a, low_b = (a % (1 << 32)).astype(np.uint64), (b % (1 << 32)).astype(np.uint64)
-    high_a = (a >> 32).astype(np.uint64)
+    low_a, high_a, b61 = (a % (1 << 32)).astype(np.uint64), (a >> 32).astype(np.uint64), (b % _PRIME).astype(np.uint64)
 
     def times(h: np.ndarray) -> np.ndarray:
         """(a * h + b) mod 2**61 - 1 for 32-bit h, without overflow."""
@@ -147,37 +171,41 @@ def minhash(text, num_hashes: int = 64, ngram_size: int = 1, seed: int = 1, hash
         low = low_a[None, :] * h[:, None]
         high = high_a[None, :] * h[:, None] % p  # times 2**32
         shifted = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
-        b61 = (b % _PRIME).astype(np.uint64)
         return (low % p + shifted % p + b61[None, :]) % p
 
     @F.pandas_udf("array<long>")
     def udf(s: pd.Series) -> pd.Series:
+        f = _hasher(hash_function)
+
         def one(t):
             w = t.split(" ")
             grams = {" ".join(w[i : i + ngram_size]) for i in range(max(1, len(w) - ngram_size + 1))}
-            h = np.array([xxhash.xxh64_intdigest(g) & 0xFFFFFFFF for g in grams], np.uint64)
-            return (times(h).min(0) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            least = reduce(np.minimum, (times(h).min(0) for h in _blocks(grams, f, 0xFFFFFFFF)))
+            return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
         return s.map(one, na_action="ignore")
 
-    del low_b
     return udf(c(text))
 
 
 @public
 def simhash(text, ngram_size: int = 3, hash_function: str = "xxhash64"):
     """64 bits: each the majority over hashes of character n-grams; 0 for shorter texts."""
-    import xxhash
+    _hasher(hash_function)
+    places = np.arange(64, dtype=np.uint64)
 
     @F.pandas_udf("long")
     def udf(s: pd.Series) -> pd.Series:
+        f = _hasher(hash_function)
+
         def one(t):
-            if len(t) < ngram_size:
+            n = len(t) - ngram_size + 1
+            if n < 1:
                 return 0
-            h = np.array([xxhash.xxh64_intdigest(t[i : i + ngram_size]) for i in range(len(t) - ngram_size + 1)], np.uint64)
-            bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-            return int(((bits.sum(0) * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+            ones = sum(((h[:, None] >> places) & np.uint64(1)).sum(0) for h in _blocks((t[i : i + ngram_size] for i in range(n)), f, (1 << 64) - 1))
+            return int(((ones * 2 > n).astype(np.uint64) << places).sum(dtype=np.uint64).astype(np.int64))
 
-        return s.map(one, na_action="ignore").astype("Int64")
+        # Not by map: it makes doubles of numbers beside nulls.
+        return pd.Series([None if pd.isna(t) else one(t) for t in s], dtype="Int64")
 
     return udf(c(text))

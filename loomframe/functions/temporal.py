@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .base import c, public, v
@@ -40,10 +40,18 @@ _FIELD_OF = {
     "quarter": F.quarter, "year": F.year, "day_of_week": F.weekday, "day_of_year": F.dayofyear, "dayofyear": F.dayofyear, "week_of_year": F.weekofyear,
     "weekofyear": F.weekofyear, "second": F.second, "unix_date": lambda x: F.unix_date(F.to_date(x)), "last_day": F.last_day, "timestamp_seconds": F.timestamp_seconds,
     "timestamp_millis": F.timestamp_millis, "timestamp_micros": F.timestamp_micros, "date_from_unix_date": F.date_from_unix_date,
-    "time": lambda x: x.cast("time(6)"),
+    "time": lambda x: _timed(x),
 }
 
 
+def _timed(x: Column) -> Column:
+    """The type is off by default in this Spark; the session that plans the query must allow it."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.timeType.enabled", "true")
+    return F.make_time(F.hour(x), F.minute(x), F.date_part(F.lit("second"), x))
+
+
 def _one(name, f):
     def function(expr) -> Column:
         return f(c(expr))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,15 @@ def portable(name: str, sql: str) -> None:
         return spark.sql(sql)
 
     QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+def engine_sql(name: str, sql: str, oracle: str) -> None:
+    """A query in the engine's SQL, with the library's functions, and the same in DuckDB's."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..session import Session
+
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
+        return Session(spark).sql(sql, **tables).df
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle

@@ -186,6 +186,47 @@ def temporal_zones(t):
     )
 
 
+@query("""SELECT event_id, day(ts) AS day_of_month, dayofyear(ts) AS dayofyear, weekofyear(ts) AS weekofyear, CAST(epoch_us(ts) % 1000000 * 1000 AS INTEGER) AS nanosecond, strftime(ts, '%H:%M') AS date_format,
+          CAST(date_trunc('minute', ts) AS TIMESTAMP) AS to_datetime, date_part('month', ts)::INTEGER AS datepart, CAST(ts + INTERVAL 3 DAY AS DATE) AS dateadd, date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS datediff,
+          CAST(ts + INTERVAL ((7 - isodow(ts)) % 7 + CASE WHEN isodow(ts) = 7 THEN 7 ELSE 0 END) DAY AS DATE) AS next_day, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo' AS from_utc_timestamp, ts AT TIME ZONE 'Asia/Tokyo' AT TIME ZONE 'UTC' AS to_utc_timestamp,
+          ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo' AS convert_timezone, ts AT TIME ZONE 'Asia/Tokyo' AT TIME ZONE 'UTC' AS replace_time_zone, strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS from_unixtime,
+          date_trunc('second', ts) AS millis, ts AS micros, CAST(ts AS DATE) AS date_from_unix_date, 'UTC' AS current_timezone, true AS now, make_timestamp(year(ts), month(ts), day(ts), hour(ts), 2, 3) AS make_timestamp_ltz FROM events""")
+def temporal_aliases(t):
+    x, plain = F.col("ts"), lambda e: Expr(e.cast("timestamp_ntz"))
+    each = {n: col("ts").__getattr__(n)() for n in ("day_of_month", "dayofyear", "weekofyear", "nanosecond")}
+    return t.events.select(
+        "event_id", **each, date_format=Expr(L.date_format(x, "%H:%M")), to_datetime=Expr(L.to_datetime(L.strftime(x, "%Y-%m-%d %H:%M"), "%Y-%m-%d %H:%M")), datepart=Expr(L.datepart("month", x)), dateadd=Expr(L.dateadd(x, 3)),
+        datediff=Expr(L.datediff(F.to_date(x), F.lit("2020-01-01").cast("date"))), next_day=Expr(L.next_day(F.to_date(x), "Sunday")), from_utc_timestamp=plain(L.from_utc_timestamp(x.cast("timestamp"), "Asia/Tokyo")),
+        to_utc_timestamp=plain(L.to_utc_timestamp(x.cast("timestamp"), "Asia/Tokyo")), convert_timezone=Expr(L.convert_timezone("Asia/Tokyo", x)), replace_time_zone=plain(L.replace_time_zone(x, "Asia/Tokyo")),
+        from_unixtime=Expr(L.from_unixtime(L.to_unix_epoch(x))), millis=plain(L.timestamp_millis(L.to_unix_epoch(x) * 1000)), micros=plain(L.timestamp_micros(L.to_unix_epoch(x, "us"))), date_from_unix_date=Expr(L.date_from_unix_date(L.unix_date(x))),
+        current_timezone=Expr(L.current_timezone()), now=Expr((L.current_date() > F.lit("2020-01-01").cast("date")) & (L.current_timestamp() > F.lit("2020-01-01").cast("timestamp"))),
+        make_timestamp_ltz=plain(L.make_timestamp_ltz(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.lit(2), F.lit(3))),
+    )
+
+
+@query("""SELECT o_orderkey, epoch_us(d) AS total_microseconds, epoch_us(d) * 1000 AS total_nanoseconds, CAST(CAST(o_orderdate + to_microseconds(o_orderkey * 60250000) AS TIME) AS VARCHAR) AS time,
+          round((year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 + CASE WHEN day(o_orderdate) = 1 THEN 0 ELSE (day(o_orderdate) - 1) / 31 END, 6) AS months_between
+          FROM (SELECT *, o_orderdate - TIMESTAMP '1990-01-01' AS d FROM orders)""")
+def temporal_totals(t):
+    start = F.lit("1990-01-01").cast("timestamp_ntz")
+    d = col("o_orderdate") - Expr(start)
+    return t.orders.select(
+        "o_orderkey", total_microseconds=d.total_microseconds(), total_nanoseconds=d.total_nanoseconds(), time=Expr(F.timestamp_add("MICROSECOND", F.col("o_orderkey") * 60250000, F.col("o_orderdate"))).time().cast("string"), months_between=Expr(L.months_between("o_orderdate", start)).round(6)
+    )
+
+
+@query(r"""SELECT c_custkey, c_custkey * c_custkey::DOUBLE AS power, round((c_nationkey + c_acctbal) / 2, 6) AS columns_avg, c_name || ' ' AS lstrip, ' ' || c_name AS rstrip, string_split(c_name, '#') AS regexp_split,
+          c_nationkey::VARCHAR AS json_a, c_mktsegment AS json_b, c_nationkey AS unnest_a, c_mktsegment AS unnest_b FROM customer""")
+def scalar_aliases(t):
+    n = col("c_name")
+    rows = t.customer.with_column("s", Expr(L.to_struct(unnest_a="c_nationkey", unnest_b="c_mktsegment")))
+    rows = rows.with_column("j", Expr(L.json_tuple(F.to_json(F.struct(F.col("c_nationkey").alias("json_a"), F.col("c_mktsegment").alias("json_b"))), "json_a", "json_b")))
+    return rows.select(
+        "c_custkey", Expr(L.unnest("s")), Expr(L.unnest("j")), power=col("c_custkey").power(2), columns_avg=Expr(L.columns_avg("c_nationkey", "c_acctbal")).round(6), lstrip=Expr(F.concat(F.lit(" \t"), n.column, F.lit(" "))).lstrip(),
+        rstrip=Expr(F.concat(F.lit(" "), n.column, F.lit(" \n"))).rstrip(), regexp_split=n.regexp_split("#"),
+    )
+
+
 @query("""SELECT doc_id, array_to_string(w, '|') AS list_join, len(w) AS list_count, list_sort(w) AS list_sort, list_sort(list_distinct(w)) AS list_distinct, list_contains(w, 'the') AS list_contains, w[1:3] AS slice, w[2] AS get, w[-1] AS get_last,
           list_append(w, 'end') AS list_append, list_transform(w, lambda x: reverse(x)) AS list_map, list_filter(w, lambda x: length(x) > 10) AS list_filter, len(list_distinct(w)) AS list_count_distinct
           FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""")

@@ -58,12 +58,17 @@ class Session:
         self._provider = self._model = None
 
     def sql(self, query: str, **bindings):
-        """bindings: frames that the query names."""
+        """Spark SQL with the library's functions and table functions; bindings: frames that the query names."""
+        from .macros import expand
         from .operators.frame import Frame
 
         for name, frame in bindings.items():
             self.attach_table(frame, name)
-        return Frame(self.spark.sql(table_functions(query)))
+        return Frame(self.spark.sql(expand(table_functions(query), self.spark, self._own_functions())))
+
+    def _own_functions(self) -> set[str]:
+        """Names of the user's functions; they come before the library's."""
+        return {r[0].rsplit(".")[-1].lower() for r in self.spark.sql("SHOW USER FUNCTIONS").collect()}
 
     def attach(self, x, alias: str) -> None:
         if callable(x):

@@ -76,6 +76,37 @@ def test_minhash_estimates_similarity(spark):
     assert s[0] == 0 and distance(s[1], s[2]) < distance(s[1], s[3])
 
 
+def test_similarity_hashes_by_hand(spark):
+    import hashlib
+
+    import xxhash
+
+    from loomframe.functions.misc import _PRIME, _permutations
+    from loomframe.functions.partitioning import murmur3
+
+    hashers = {
+        "xxhash64": xxhash.xxh64_intdigest, "xxhash32": xxhash.xxh32_intdigest, "xxhash3_64": xxhash.xxh3_64_intdigest, "murmurhash3": murmur3, "sha1": lambda b: int.from_bytes(hashlib.sha1(b).digest()[:8], "little"),
+    }
+    texts = ["the quick brown fox", "a", "", "the the the", " ".join(f"w{i % 7000}" for i in range(9000)), None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = _permutations(8, 5)
+    for name, f in hashers.items():
+        got = df.select(L.minhash("t", 8, 2, 5, name).alias("m"), L.simhash("t", 3, name).alias("s")).collect()
+        for t, row in zip(texts, got):
+            if t is None:
+                assert row.m is None and row.s is None
+                continue
+            w = t.split(" ")
+            h = [f(" ".join(w[i : i + 2]).encode()) & 0xFFFFFFFF for i in range(max(1, len(w) - 1))]
+            assert row.m == [min((a * x + b) % _PRIME for x in h) & 0xFFFFFFFF for a, b in pairs]
+            grams = [f(t[i : i + 3].encode()) for i in range(len(t) - 2)]
+            bits = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in grams) > len(grams))
+            assert row.s % (1 << 64) == bits
+    for made in (L.minhash, L.simhash, L.hash):
+        with pytest.raises(ValueError, match="no such hash"):
+            made("t", hash_function="md99")
+
+
 def test_images(spark, tmp_path):
     import numpy as np
 

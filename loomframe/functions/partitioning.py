@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +55,24 @@ def murmur3(data: bytes, seed: int = 0) -> int:
 
 @public
 def partition_iceberg_bucket(expr, n: int):
-    """Integers hash as 8 little-endian bytes, strings as UTF-8, dates as days."""
-
-    def number(x) -> bytes:
-        if isinstance(x, bytes | bytearray):
-            return bytes(x)
-        return x.encode() if isinstance(x, str) else struct.pack("<q", int(x))
-
-    @F.pandas_udf("int")
-    def udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: (murmur3(number(x)) & 0x7FFFFFFF) % n, na_action="ignore").astype("Int32")
+    """Integers hash as 8 little-endian bytes, strings as UTF-8, dates as days, timestamps as microseconds, decimals as the least bytes of their unscaled value."""
+
+    def raw(x) -> bytes:
+        if isinstance(x, bytes | str):
+            return x.encode() if isinstance(x, str) else x
+        if isinstance(x, decimal.Decimal):
+            unscaled = int(x.scaleb(-x.as_tuple().exponent, decimal.Context(prec=40)))
+            return unscaled.to_bytes((unscaled if unscaled >= 0 else ~unscaled).bit_length() // 8 + 1, "big", signed=True)
+        if isinstance(x, datetime.datetime):
+            x = (x.replace(tzinfo=None) - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+        elif isinstance(x, datetime.date):
+            x = (x - datetime.date(1970, 1, 1)).days
+        return struct.pack("<q", x)
+
+    # Arrow keeps long integers exact beside nulls, which pandas makes doubles.
+    @F.arrow_udf("int")
+    def udf(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else (murmur3(raw(x)) & 0x7FFFFFFF) % n for x in a.to_pylist()], pa.int32())
 
     return udf(c(expr))
 

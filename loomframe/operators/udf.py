@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from .expr import Expr, named
 
@@ -17,8 +18,32 @@ def _call(u, args):
     return Expr(u(*[named(a) for a in args]))
 
 
-def func(return_dtype: str, max_retries: int = 0, on_error: str = "raise", max_concurrency: int | None = None):
-    """Decorates a function of one row's values; coroutines run together, batch by batch, at most max_concurrency at a time. on_error: raise, log or ignore (null)."""
+def _fields(u, args, return_dtype: str) -> list[Expr]:
+    """The fields of a struct that a function gives, as columns of their own; equal calls of one select run once."""
+    kind = _parse_datatype_string(return_dtype)
+    if not isinstance(kind, StructType):
+        raise ValueError(f"only structs have fields: {return_dtype}")
+    out = u(*[named(a) for a in args])
+    return [Expr(out.getField(n).alias(n)) for n in kind.names]
+
+
+def _sliced(f, batch_size: int | None):
+    """f over pieces of at most batch_size rows."""
+    if batch_size is None:
+        return f
+    if batch_size < 1:
+        raise ValueError(f"no such batch_size: {batch_size}")
+
+    def run(*columns: pd.Series) -> pd.Series:
+        pieces = [pd.Series(f(*[s.iloc[i : i + batch_size].reset_index(drop=True) for s in columns])) for i in range(0, len(columns[0]), batch_size)]
+        return pd.concat(pieces, ignore_index=True) if pieces else pd.Series([], dtype="object")
+
+    return run
+
+
+def func(return_dtype: str, max_retries: int = 0, on_error: str = "raise", max_concurrency: int | None = None, unnest: bool = False):
+    """Decorates a function of one row's values; coroutines run together, batch by batch, at most max_concurrency at a time. on_error: raise, log or ignore (null).
+    unnest: a list of columns, one for each field of the struct that it gives."""
     if on_error not in ("raise", "log", "ignore"):
         raise ValueError(f"no such on_error: {on_error}")
 
@@ -59,7 +84,7 @@ def func(return_dtype: str, max_retries: int = 0, on_error: str = "raise", max_c
             u = F.pandas_udf(run, return_dtype)
         else:
             u = F.udf(guarded, return_dtype, useArrow=True)
-        return lambda *args: _call(u, args)
+        return lambda *args: _fields(u, args, return_dtype) if unnest else _call(u, args)
 
     return decorate
 
@@ -75,12 +100,14 @@ def generator(item_dtype: str, ignore_empty: bool = False):
     return decorate
 
 
-def batch(return_dtype: str):
-    """Decorates a function of whole pandas series."""
+def batch(return_dtype: str, batch_size: int | None = None):
+    """Decorates a function of whole pandas series, of at most batch_size rows."""
 
     def decorate(f):
+        whole = _sliced(f, batch_size)
+
         def run(*columns: pd.Series) -> pd.Series:
-            return f(*columns)
+            return whole(*columns)
 
         u = F.pandas_udf(run, return_dtype)
         return lambda *args: _call(u, args)
@@ -88,21 +115,35 @@ def batch(return_dtype: str):
     return decorate
 
 
-def stateful(return_dtype: str, **options):
-    """Decorates a class that is made once a task and called with whole series of its one argument."""
+def stateful(return_dtype: str, method: str = "__call__", batch_size: int | None = None, **options):
+    """Decorates a class that is made once a task; its method is called with whole series of its arguments, of at most batch_size rows."""
 
     def decorate(cls):
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            instance = cls(**options)
-            for s in batches:
-                yield instance(s)
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            whole = _sliced(getattr(cls(**options), method), batch_size)
+            for columns in batches:
+                # One argument comes as itself.
+                yield whole(*columns) if isinstance(columns, tuple) else whole(columns)
 
         u = F.pandas_udf(run, return_dtype)
-        return lambda arg: _call(u, (arg,))
+        return lambda *args: _call(u, args)
 
     return decorate
 
 
+def udf(return_dtype: str, batch_size: int | None = None, **options):
+    """The older decorator: of a function of whole series, or of a class that is made once a task with the options."""
+
+    def decorate(f):
+        return stateful(return_dtype, batch_size=batch_size, **options)(f) if isinstance(f, type) else batch(return_dtype, batch_size)(f)
+
+    return decorate
+
+
+#: Keys of a task whose states are held at once; beyond, they are sent on and later combined.
+HELD = 100_000
+
+
 class Aggregate:
     """A two-phase aggregate: ``partial`` of a series in every partition, ``combine`` of two states, ``finalize``. States are JSON-serialisable."""
 
@@ -134,7 +175,13 @@ def aggregate(frame, aggregate: Aggregate, keys: list[str], value: str, name: st
                 s = aggregate.partial(part[value])
                 key = key if isinstance(key, tuple) else (key,)
                 states[key] = aggregate.combine(states[key], s) if key in states else s
-        yield pd.DataFrame([(*k, json.dumps(s)) for k, s in states.items()], columns=[*keys, "__state"])
+            if len(states) > HELD:
+                yield sent(states)
+                states = {}
+        yield sent(states)
+
+    def sent(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, json.dumps(s)) for k, s in states.items()], columns=[*keys, "__state"])
 
     def final(part: pd.DataFrame) -> pd.DataFrame:
         states = [json.loads(s) for s in part["__state"]]

@@ -189,6 +189,20 @@ def aggregate_approximate(t):
     return t.lineitem.groupby("l_returnflag").agg(A.approx_count_distinct("l_partkey").alias("parts"), A.approx_percentiles("l_quantity", [0.25, 0.5, 0.75]).alias("quartiles"), A.any_value("l_linestatus").alias("any"))
 
 
+@query("SELECT l_returnflag, true AS parts_near, true AS quartiles_near, true AS any_there FROM lineitem GROUP BY l_returnflag")
+def aggregate_approximate_errors(t):
+    """Estimates against exact values: distinct ones within a tenth, quartiles within a fiftieth of the rows by rank."""
+    ranks = [F.avg((F.col("l_quantity") < F.col(f"q{i}")).cast("double")) for i in range(3)] + [F.avg((F.col("l_quantity") <= F.col(f"q{i}")).cast("double")) for i in range(3)]
+    about = t.lineitem.groupby("l_returnflag").agg(A.approx_count_distinct("l_partkey").alias("parts"), A.approx_percentiles("l_quantity", [0.25, 0.5, 0.75]).alias("q"), A.any_value("l_linestatus").alias("any"))
+    about = about.select("l_returnflag", "parts", "any", **{f"q{i}": Expr(F.col("q")[i]) for i in range(3)})
+    exact = [F.count_distinct("l_partkey").alias("n"), F.first("parts").alias("parts"), F.max((F.col("l_linestatus") == F.col("any")).cast("int")).alias("found"), *[r.alias(f"r{i}") for i, r in enumerate(ranks)]]
+    rows = t.lineitem.join(about, on="l_returnflag").groupby("l_returnflag").agg(*exact)
+    near = F.lit(True)
+    for i, p in enumerate((0.25, 0.5, 0.75)):
+        near = near & (F.col(f"r{i}") <= p + 0.02) & (F.col(f"r{i + 3}") >= p - 0.02)
+    return rows.select("l_returnflag", parts_near=Expr(F.abs(F.col("parts") / F.col("n") - 1) < 0.1), quartiles_near=Expr(near), any_there=Expr(F.col("found") == 1))
+
+
 @query("SELECT round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders")
 def aggregate_global(t):
     return t.orders.agg(F.round(A.sum("o_totalprice"), 2).alias("total"), A.count().alias("n"))
@@ -300,6 +314,20 @@ def sample_fraction(t):
     return t.orders.sample(fraction=0.1, seed=3)
 
 
+@query("SELECT true AS share, 0::BIGINT AS strangers, 0::BIGINT AS twice, true AS again FROM region WHERE r_regionkey = 0")
+def sample_fraction_properties(t):
+    """A sample holds its share of the rows, only rows of the table, none twice, and the same ones for the same seed."""
+    drawn = lambda: t.orders.sample(fraction=0.3, seed=3).df.select("o_orderkey")
+    counted = drawn().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("d"), F.sum(F.xxhash64("o_orderkey").cast("decimal(38,0)")).alias("h"))
+    again = drawn().agg(F.sum(F.xxhash64("o_orderkey").cast("decimal(38,0)")).alias("h2"))
+    strangers = drawn().join(t.orders.df.select("o_orderkey"), "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    total = t.orders.df.agg(F.count(F.lit(1)).alias("all"))
+    # Four tables of one row.
+    one = lambda df: df.withColumn("one", F.lit(1))
+    rows = one(counted).join(one(again), "one").join(one(strangers), "one").join(one(total), "one")
+    return rows.select((F.abs(F.col("n") / F.col("all") - 0.3) < 0.05).alias("share"), "strangers", (F.col("n") - F.col("d")).alias("twice"), (F.col("h") == F.col("h2")).alias("again"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1")
 def skip_existing(t):
     from .. import session
@@ -333,6 +361,29 @@ def udf_stateful_async(t):
     return t.region.select("r_regionkey", more=udf.stateful("int", n=7)(Adder)("r_regionkey"))
 
 
+@query("""SELECT c_custkey, c_mktsegment || '-' || c_nationkey AS both, c_custkey + 1 AS next, c_custkey * 10 + c_nationkey + 7 AS summed, true AS short, c_nationkey * 3 AS thrice, length(c_name) + 2 AS longer FROM customer""")
+def udf_options(t):
+    """Fields of a struct as columns, batches of a few rows, classes with several arguments and named methods, the older decorator."""
+
+    class Adder:
+        def __init__(self, n):
+            self.n = n
+
+        def both(self, a, b):
+            return a * 10 + b + self.n
+
+        def __call__(self, s):
+            return s.str.len() + self.n
+
+    pair = udf.func("struct<both: string, next: long>", unnest=True)(lambda k, s, n: {"both": f"{s}-{n}", "next": k + 1})
+    small = udf.batch("boolean", batch_size=7)(lambda s: s.map(lambda _: len(s) <= 7))
+    rows = t.customer.select("c_custkey", *pair("c_custkey", "c_mktsegment", "c_nationkey"), short=small("c_custkey"))
+    more = t.customer.select(
+        k=col("c_custkey"), summed=udf.stateful("long", method="both", batch_size=100, n=7)(Adder)("c_custkey", "c_nationkey"), thrice=udf.udf("int")(lambda s: s * 3)("c_nationkey"), longer=udf.udf("long", n=2)(Adder)("c_name")
+    )
+    return rows.join(more, left_on="c_custkey", right_on="k").exclude("k")
+
+
 @query("SELECT l_returnflag, round(max(l_quantity) - min(l_quantity), 2) AS spread FROM lineitem GROUP BY l_returnflag")
 def udf_aggregate(t):
     class Spread(udf.Aggregate):

@@ -281,6 +281,17 @@ def hashes_and_ids(t):
     return t.documents.select("doc_id", hash=x.hash(), sha=x.hash(hash_function="sha1"), minhash=x.minhash(16, 3), simhash=x.simhash(), id4=Expr(L.uuid()), id7=Expr(L.uuid(7)), number=Expr(L.random_int(1, 6, 3)), at=Expr(L.monotonically_increasing_id()))
 
 
+@query(r"""SELECT doc_id, CAST('0x' || sha1(coalesce(text, chr(0)))[:15] AS BIGINT) AS sha, true AS version4, true AS version7, true AS in_range, 16 AS permutations, true AS signs, true AS own_place FROM documents""")
+def hash_properties(t):
+    x = col("text")
+    rows = t.documents.select("doc_id", sha=x.hash(hash_function="sha1"), id4=Expr(L.uuid()), id7=Expr(L.uuid(7)), number=Expr(L.random_int(1, 6, 3)), at=Expr(L.monotonically_increasing_id()), m=x.minhash(16, 3))
+    form = "^[0-9a-f]{{8}}-[0-9a-f]{{4}}-{}[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$"
+    return rows.select(
+        "doc_id", "sha", version4=col("id4").regexp(form.format(4)), version7=col("id7").regexp(form.format(7)), in_range=col("number").between(1, 6), permutations=Expr(F.size("m")),
+        signs=Expr(F.forall("m", lambda v: v.between(0, (1 << 32) - 1))), own_place=col("at") >= 0,
+    )
+
+
 def _pairs(t, queries):
     """Every vector with every query."""
     return t.embeddings.select(i=col("vec_id"), x=col("embedding")).join(t.embeddings.filter(queries).select(j=col("vec_id"), y=col("embedding")), how="cross")
@@ -349,7 +360,14 @@ def uuid7_times(t):
     return one.select(minute=Expr(L.extract_minute_uuid7(u)), hour=Expr(L.extract_hour_uuid7(u)), day=Expr(L.extract_day_uuid7(u)), month=Expr(L.extract_month_uuid7(u)))
 
 
-@query()
+#: The table format's hash of a 64-bit number, step by step; every step names the one before.
+_MURMUR = """SELECT o_orderkey, o_orderpriority, xor(f2, f2 >> 16) AS hashed FROM (SELECT *, o_orderkey::UBIGINT AS k, 4294967295::UBIGINT AS m, 3432918353::UBIGINT AS c, 461845907::UBIGINT AS d, 3864292196::UBIGINT AS e,
+    ((k & m) * c) & m AS a1, ((((a1 << 15) | (a1 >> 17)) & m) * d) & m AS b1, ((((b1 << 13) | (b1 >> 19)) & m) * 5::UBIGINT + e) & m AS h1, ((k >> 32) * c) & m AS a2, ((((a2 << 15) | (a2 >> 17)) & m) * d) & m AS b2, xor(h1, b2) AS x2,
+    ((((x2 << 13) | (x2 >> 19)) & m) * 5::UBIGINT + e) & m AS h2, xor(h2, 8::UBIGINT) AS f0, (xor(f0, f0 >> 16) * 2246822507::UBIGINT) & m AS f1, (xor(f1, f1 >> 13) * 3266489909::UBIGINT) & m AS f2 FROM orders)"""
+
+
+@query(f"""SELECT o_orderkey, CAST((hashed & 2147483647::UBIGINT) % 16::UBIGINT AS INTEGER) AS bucket,
+           CASE o_orderpriority WHEN '1-URGENT' THEN 9 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 9 WHEN '4-NOT SPECIFIED' THEN 12 WHEN '5-LOW' THEN 2 END AS text_bucket FROM ({_MURMUR})""")
 def iceberg_buckets(t):
     return t.orders.select("o_orderkey", bucket=col("o_orderkey").partition_iceberg_bucket(16), text_bucket=col("o_orderpriority").partition_iceberg_bucket(16))
 

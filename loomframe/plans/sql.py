@@ -20,7 +20,7 @@ _SQL = {
         SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
         JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        WHERE r_name = 'ASIA' GROUP BY n_name""",
+        WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY n_name""",
     "tpch_q6": """
         SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
@@ -28,23 +28,24 @@ _SQL = {
         SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
             SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(YEAR FROM l_shipdate) AS BIGINT) AS l_year, l_extendedprice * (1 - l_discount) AS volume
             FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
-            JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE n1.n_regionkey <> n2.n_regionkey) shipping
+            JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
+            WHERE ((n1.n_name = 'NATION_6' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_6')) AND l_shipdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00') shipping
         GROUP BY supp_nation, cust_nation, l_year""",
     "tpch_q8": """
-        SELECT o_year, round(sum(CASE WHEN nation = 'FRANCE' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
+        SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
             SELECT CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation
             FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey
             JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey
-            JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'EUROPE') all_nations
+            JOIN nation n2 ON s_nationkey = n2.n_nationkey WHERE r_name = 'EUROPE' AND p_type = 'ECONOMY' AND o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1996-12-31 00:00:00') all_nations
         GROUP BY o_year""",
     "tpch_q9_profit": """
         SELECT n_name AS nation, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - p_retailprice * 0.1 * l_quantity), 4) AS sum_profit
         FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey
-        WHERE p_name LIKE '%a%' GROUP BY n_name, extract(YEAR FROM o_orderdate)""",
+        WHERE p_name LIKE '%blue%' GROUP BY n_name, extract(YEAR FROM o_orderdate)""",
     "tpch_q10": """
         SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name
         FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
-        WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
+        WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1995-10-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     "tpch_q14": """
         SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1995-09-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-10-01 00:00:00'""",
@@ -56,11 +57,45 @@ _SQL = {
         WHERE p_size < 25 AND l_quantity < (SELECT 0.5 * avg(i.l_quantity) FROM lineitem i WHERE i.l_partkey = p_partkey)""",
     "tpch_q18": """
         SELECT c_name, c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS total_qty FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
-        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice""",
+        WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 300) GROUP BY c_name, c_custkey, o_orderkey, o_totalprice""",
     "tpch_q22_idle_customers": """
         SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer
         WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)
         GROUP BY c_nationkey""",
+    # Offers of parts by suppliers come from the lines; dates of receipt and shipping modes aren't in the tables.
+    "tpch_q2_cheapest_suppliers": """
+        WITH offers AS (SELECT l_partkey AS partkey, l_suppkey AS suppkey, round(min(l_extendedprice / l_quantity), 4) AS cost FROM lineitem GROUP BY l_partkey, l_suppkey)
+        SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, cost FROM part JOIN offers o ON p_partkey = o.partkey JOIN supplier ON s_suppkey = o.suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        WHERE p_size = 15 AND p_type = 'STANDARD' AND r_name = 'EUROPE' AND cost = (
+            SELECT min(i.cost) FROM offers i JOIN supplier s ON s.s_suppkey = i.suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE i.partkey = p_partkey AND r.r_name = 'EUROPE')
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    "tpch_q11_important_stock": """
+        WITH stock AS (SELECT l_partkey AS partkey, sum(l_extendedprice * l_quantity) AS worth FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3 GROUP BY l_partkey)
+        SELECT partkey, round(worth, 2) AS worth FROM stock WHERE worth > (SELECT sum(worth) * 0.001 FROM stock)""",
+    "tpch_q12_line_priorities": """
+        SELECT l_returnflag, sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS high_line_count,
+               sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS low_line_count
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag IN ('R', 'A') AND l_shipdate > o_orderdate AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY l_returnflag""",
+    "tpch_q13_orders_of_customers": """
+        SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' GROUP BY c_custkey) c_orders
+        GROUP BY c_count""",
+    "tpch_q16_suppliers_of_parts": """
+        SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem JOIN part ON p_partkey = l_partkey
+        WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
+    "tpch_q19_alternatives": """
+        SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+        WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 5) OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 10)
+           OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 15)""",
+    "tpch_q20_excess_suppliers": """
+        SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 AND s_suppkey IN (
+            SELECT suppkey FROM (SELECT l_partkey AS partkey, l_suppkey AS suppkey, sum(l_quantity) AS available FROM lineitem GROUP BY l_partkey, l_suppkey) offers
+            WHERE partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'blue%') AND available < 4 * (
+                SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = partkey AND l_suppkey = suppkey AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'))""",
+    "tpch_q21_late_suppliers": """
+        SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey JOIN nation ON s_nationkey = n_nationkey
+        WHERE o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate + INTERVAL '60' DAY AND n_regionkey = 1 AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+          AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > o_orderdate + INTERVAL '60' DAY)
+        GROUP BY s_name ORDER BY numwait DESC, s_name LIMIT 100""",
     "sql_cte_case": """
         WITH sized (pkey, size_class) AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END FROM part)
         SELECT size_class, count(*) AS parts, min(pkey) AS first_part FROM sized GROUP BY size_class""",

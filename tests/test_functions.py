@@ -67,6 +67,19 @@ def test_murmur_matches_the_table_format_specification(spark):
     assert got == (2017239379 & 0x7FFFFFFF) % 16
 
 
+def test_buckets_match_the_table_format_specification(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    row = spark.createDataFrame([(34, "iceberg", date(2017, 11, 16), datetime(2017, 11, 16, 22, 31, 8), Decimal("14.20"), b"\0\1\2\3")], "i long, s string, d date, t timestamp_ntz, x decimal(9,2), b binary")
+    n = 1 << 30
+    hashes = {"i": 2017239379, "s": 1210000089, "d": -653330422, "t": -2047944441, "x": -500754589, "b": -188683207}
+    got = row.select([L.partition_iceberg_bucket(c, n).alias(c) for c in hashes]).first().asDict()
+    assert got == {k: (h & 0x7FFFFFFF) % n for k, h in hashes.items()}
+    big = spark.createDataFrame([((1 << 53) + 1,), (None,), (1 << 53,)], "i long").select(L.partition_iceberg_bucket("i", n)).collect()
+    assert big[1][0] is None and big[0][0] != big[2][0]
+
+
 def test_minhash_estimates_similarity(spark):
     a, b = " ".join(map(str, range(100))), " ".join(map(str, range(25, 125)))
     x, y = (r[0] for r in spark.createDataFrame([(a,), (b,)], "t string").select(L.minhash("t", 256)).collect())

@@ -134,3 +134,36 @@ def test_torch_shards_are_checked(spark, sf):
         with pytest.raises(ValueError):
             orders._of_rank(options.get("shard_strategy"), options.get("world_size"), options.get("rank"))
     assert sum(orders._of_rank("file", 3, i).count_rows() for i in range(3)) == orders.count_rows() == sum(b.num_rows for b in orders.to_arrow_iter())
+
+
+def test_fields_of_a_struct_come_from_one_call(spark, sf):
+    from loomframe.operators import udf
+
+    pair = udf.func("struct<a: long, b: long>", unnest=True)(lambda k: {"a": k, "b": k + 1})
+    text = plan(readers.read_parquet(f"{sf}/customer.parquet").select("c_custkey", *pair("c_custkey")).df)
+    assert "pythonUDF0" in text and "pythonUDF1" not in text
+
+
+def test_aggregate_states_are_sent_on(spark, monkeypatch):
+    from loomframe.operators import udf
+
+    class Total(udf.Aggregate):
+        def partial(self, values):
+            return float(values.sum())
+
+        def combine(self, a, b):
+            return a + b
+
+    monkeypatch.setattr(udf, "HELD", 3)
+    df = spark.range(0, 1000, 1, 4).selectExpr("id % 17 AS k", "CAST(id AS DOUBLE) AS x")
+    got = {r["k"]: r["t"] for r in udf.aggregate(Frame(df), Total(), ["k"], "x", "t").to_pylist()}
+    assert got == {k: float(sum(range(k, 1000, 17))) for k in range(17)}
+
+
+def test_udf_options_are_checked():
+    from loomframe.operators import udf
+
+    with pytest.raises(ValueError):
+        udf.func("long", unnest=True)(lambda x: x)("a")
+    with pytest.raises(ValueError):
+        udf.batch("long", batch_size=0)(lambda s: s)

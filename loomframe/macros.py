@@ -137,6 +137,44 @@ def _close(query: str, start: int) -> tuple[list[str], int]:
     raise ValueError("a parenthesis isn't closed")
 
 
+_DISTINCT_ON = re.compile(rf"{_OPAQUE}|(?<![\w.])(select\s+distinct\s+on\s*\()", re.DOTALL | re.IGNORECASE)
+_CLAUSE = re.compile(rf"{_OPAQUE}|[()]|(?<![\w.])(from|order\s+by|limit|offset|union|intersect|except|minus)(?!\w)", re.DOTALL | re.IGNORECASE)
+
+
+def distinct_on(query: str) -> str:
+    """SELECT DISTINCT ON (keys) as the first row of each group in the query's order, any row without one; the rows themselves come in no order."""
+    start = 0
+    while m := _DISTINCT_ON.search(query, start):
+        start = m.end()
+        if not m[1]:
+            continue
+        keys, begin = _close(query, m.end())
+        # Where the clauses of this select begin, and where it ends.
+        depth, at, stop = 0, {}, len(query)
+        for c in _CLAUSE.finditer(query, begin):
+            word = re.sub(r"\s+", " ", (c[1] or c[0])).lower()
+            if word == "(":
+                depth += 1
+            elif word == ")":
+                depth -= 1
+            elif depth == 0 and c[1] and word not in ("from", "order by", "limit", "offset") and (word != "except" or "from" in at):
+                stop = c.start()
+            elif depth == 0 and c[1]:
+                at.setdefault(word, (c.start(), c.end()))
+            if depth < 0:
+                stop = c.start()
+            if stop < len(query):
+                break
+        if "from" not in at or "limit" in at or "offset" in at:
+            raise ValueError("DISTINCT ON needs a FROM, and its LIMIT or OFFSET around it")
+        order = query[at["order by"][1] : stop] if "order by" in at else " " + ", ".join(keys)
+        source = query[at["from"][0] : at["order by"][0] if "order by" in at else stop]
+        inner = f"SELECT {query[begin : at['from'][0]].strip()}, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY{order}) AS __nth {source.strip()}"
+        query = f"{query[: m.start()]}SELECT * EXCEPT (__nth) FROM ({inner}) WHERE __nth = 1 {query[stop:]}"
+        start = m.start() + 1
+    return query
+
+
 def expand(query: str, spark=None, own: set[str] | frozenset = frozenset()) -> str:
     """The query with library calls replaced. Names in ``own`` stay: the user's functions of those names."""
     out, at = [], 0

@@ -184,6 +184,11 @@ class Frame:
         keys = [named(k) for k in partition_by]
         return Frame(self.df.repartition(*([] if num is None else [num]), *keys))
 
+    def repartition_by_range(self, num: int | None, *by, desc=False) -> Frame:
+        """Ranges of the keys, in order from partition to partition; nulls are the greatest."""
+        keys = ordering(list(by), desc, None)
+        return Frame(self.df.repartitionByRange(*([] if num is None else [num]), *keys))
+
     def into_partitions(self, num: int) -> Frame:
         return Frame(self.df.coalesce(num) if num <= self.num_partitions() else self.df.repartition(num))
 

@@ -62,3 +62,10 @@ engine_sql(
     """SELECT k, item, n_name FROM (SELECT k, item FROM VALUES (0, array('a', 'b')), (1, array('c')) AS v(k, items) LATERAL VIEW explode(items) e AS item) JOIN nation ON n_nationkey = k""",
     """SELECT k, item, n_name FROM (SELECT k, unnest(items) AS item FROM (VALUES (0, ['a', 'b']), (1, ['c'])) v(k, items)) JOIN nation ON n_nationkey = k""",
 )
+engine_sql(
+    "sql_distinct_on",
+    """SELECT o_custkey, o_orderkey, upper(o_orderstatus) AS status, n FROM (SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderkey, o_orderstatus, (SELECT count(*) FROM nation) AS n
+       FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey) WHERE o_custkey > 1""",
+    """SELECT o_custkey, o_orderkey, upper(o_orderstatus) AS status, n FROM (SELECT DISTINCT ON (o_custkey, o_orderstatus) o_custkey, o_orderkey, o_orderstatus, (SELECT count(*) FROM nation) AS n
+       FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey) WHERE o_custkey > 1""",
+)

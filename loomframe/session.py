@@ -59,12 +59,12 @@ class Session:
 
     def sql(self, query: str, **bindings):
         """Spark SQL with the library's functions and table functions; bindings: frames that the query names."""
-        from .macros import expand
+        from .macros import distinct_on, expand
         from .operators.frame import Frame
 
         for name, frame in bindings.items():
             self.attach_table(frame, name)
-        return Frame(self.spark.sql(expand(table_functions(query), self.spark, self._own_functions())))
+        return Frame(self.spark.sql(expand(distinct_on(table_functions(query)), self.spark, self._own_functions())))
 
     def _own_functions(self) -> set[str]:
         """Names of the user's functions; they come before the library's."""

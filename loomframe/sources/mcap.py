@@ -1,8 +1,9 @@
-"""MCAP files as messages: records are a byte of kind, eight bytes of length and a body; chunks hold records (uncompressed here)."""
+"""MCAP files as messages: records are a byte of kind, eight bytes of length and a body; chunks hold records, plain or compressed."""
 
 from __future__ import annotations
 
 import struct
+from itertools import batched
 
 import pyarrow as pa
 
@@ -16,10 +17,23 @@ def _text(body: bytes, at: int) -> tuple[str, int]:
     return body[at + 4 : at + 4 + n].decode(), at + 4 + n
 
 
-def messages(data: bytes, topics: dict | None = None, at: int = 0):
+def _unpacked(codec: str, body: bytes, size: int) -> bytes:
+    if codec == "":
+        return body
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    if codec == "lz4":
+        # A frame has no library of its own here; Arrow reads it.
+        return pa.input_stream(pa.py_buffer(body), compression="lz4").read()
+    raise NotImplementedError(f"{codec} chunks")
+
+
+def messages(data: bytes, topics: dict | None = None, start: int | None = None, end: int | None = None):
+    """Messages with start <= log_time < end."""
     topics = {} if topics is None else topics
-    if data[:8] == _MAGIC:
-        at = 8
+    at = 8 if data[:8] == _MAGIC else 0
     while at + 9 <= len(data) and data[at : at + 8] != _MAGIC:
         kind, size = struct.unpack_from("<BQ", data, at)
         body = data[at + 9 : at + 9 + size]
@@ -28,17 +42,23 @@ def messages(data: bytes, topics: dict | None = None, at: int = 0):
             topics[struct.unpack_from("<H", body)[0]] = _text(body, 4)[0]
         elif kind == _MESSAGE:
             channel, sequence, logged, published = struct.unpack_from("<HIQQ", body)
-            yield topics.get(channel), logged, published, sequence, body[22:]
+            if (start is None or logged >= start) and (end is None or logged < end):
+                yield topics.get(channel), logged, published, sequence, body[22:]
         elif kind == _CHUNK:
-            codec, start = _text(body, 28)
-            if codec:
-                raise NotImplementedError(f"{codec} chunks")
-            yield from messages(body[start + 8 :], topics)
-
-
-def parse(batches):
-    for batch in batches:
-        for content in batch.column(0):
-            columns = list(zip(*messages(content.as_py()))) or [()] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+            # A chunk's channels may be used by later ones, so all are read; messages outside the range go.
+            unpacked = struct.unpack_from("<Q", body, 16)[0]
+            codec, begin = _text(body, 28)
+            yield from messages(_unpacked(codec, body[begin + 8 :], unpacked), topics, start, end)
+
+
+def parser(start: int | None, end: int | None, batch_size: int):
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                for rows in batched(messages(content.as_py(), None, start, end), batch_size):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return parse

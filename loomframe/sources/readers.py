@@ -183,13 +183,31 @@ def concat(frames) -> Frame:
     return reduce(lambda a, b: a.concat(b), frames)
 
 
-def read_mcap(path, topics=None) -> Frame:
-    """Messages (topic, log_time, publish_time, sequence, data) of uncompressed MCAP files; each file is one task's."""
-    from .mcap import SCHEMA, parse
+def read_mcap(path, start_time: int | None = None, end_time: int | None = None, topics=None, batch_size: int = 1000) -> Frame:
+    """Messages (topic, log_time, publish_time, sequence, data) logged from start_time to before end_time; each file is one task's."""
+    from .mcap import SCHEMA, parser
 
-    df = _load("binaryFile", path, {}).df.select("content").mapInArrow(parse, SCHEMA)
+    df = _load("binaryFile", path, {}).df.select("content").mapInArrow(parser(start_time, end_time, batch_size), SCHEMA)
     return Frame(df.filter(F.col("topic").isin(list(topics))) if topics else df)
 
 
+#: Kinds of crawl archives, as their lists of paths are named.
+_CRAWLS = {"raw": "warc", "warc": "warc", "text": "wet", "wet": "wet", "metadata": "wat", "wat": "wat"}
+
+
+def common_crawl(crawl: str, segment: str | None = None, content: str = "raw", num_files: int | None = None, base: str = "s3a://commoncrawl") -> Frame:
+    """Records of a crawl: raw captures, their text or metadata; of one segment, and the first files of the list, if asked. base: the crawls, or a copy, in any store that Spark reads."""
+    if content not in _CRAWLS:
+        raise ValueError(f"content must be one of {', '.join(_CRAWLS)}")
+    paths = _spark().read.text(f"{base}/crawl-data/{crawl}/{_CRAWLS[content]}.paths.gz").withColumn("nth", F.monotonically_increasing_id())
+    if segment is not None:
+        paths = paths.filter(F.col("value").contains(f"/segments/{segment}/"))
+    # The list has one line a file, a hundred thousand at most.
+    found = [r.value for r in (paths.orderBy("nth") if num_files is None else paths.orderBy("nth").limit(num_files)).collect()]
+    if not found:
+        raise ValueError(f"no files of segment {segment} in {crawl}")
+    return read_warc([f"{base}/{p}" for p in found])
+
+
 def read_video_frames(path, **_):
     raise NotImplementedError("read_video_frames needs a video library, which isn't installed here")

@@ -4,7 +4,7 @@ import pytest
 
 from loomframe import Session
 from loomframe.functions.base import REGISTRY
-from loomframe.macros import expand, names
+from loomframe.macros import distinct_on, expand, names
 
 
 @pytest.mark.parametrize(
@@ -56,3 +56,15 @@ def test_user_functions_come_first(spark):
     finally:
         s.detach_function("strip")
     assert s.sql("SELECT strip('a ') AS x").to_pylist() == [{"x": "a"}]
+
+
+def test_distinct_on(spark):
+    s = Session(spark)
+    rows = "(VALUES (1, 'a'), (1, 'b'), (2, 'c'), (NULL, 'd')) AS t(k, x)"
+    got = s.sql(f"SELECT DISTINCT ON (k) k, x FROM {rows} ORDER BY x DESC").to_pylist()
+    assert sorted((r["k"] or 0, r["x"]) for r in got) == [(0, "d"), (1, "b"), (2, "c")]
+    assert s.sql(f"SELECT DISTINCT ON (k) k FROM {rows} UNION ALL SELECT 9").count_rows() == 4
+    for text in ("SELECT 'select distinct on (a)'", "SELECT DISTINCT a FROM b"):
+        assert distinct_on(text) == text
+    with pytest.raises(ValueError, match="LIMIT"):
+        distinct_on("SELECT DISTINCT ON (a) a FROM b LIMIT 3")

@@ -16,9 +16,10 @@ least ``percent`` / 100. Exact in shingle hashes of 64 bits.
    postings / l candidates to verify.
 4. Candidates, first by stars: for each prefix shingle the document with the
    fewest shingles of its own is the hub, and every document is verified
-   against the hub it meets most. Components of these links are formed.
-5. Then all pairs of different components that share a prefix shingle, sizes
-   and repeated shingles permitting, and share at least l in all: these are
+   against the hub it meets most, of those with which it shares at least l in
+   all, sizes and repeated shingles permitting. Components of these links are
+   formed.
+5. Then all pairs of different components that share at least l: these are
    verified too. Pairs inside one component need no check, so a large group
    of near copies costs about one verification a member, and no link between
    components is lost.
@@ -381,15 +382,25 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
         na, nb = F.col(f"{a}size"), F.col(f"{b}size")
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(f"{a}repeated", f"{b}repeated") >= percent * (na + nb))
 
-    # Of a pair, only places within the prefixes for its own least overlap count: percent * (na + nb) / (100 + percent), at most that of the emitted ones.
-    need = F.least("xneed", "yneed")
-    early = percent * (F.col("xsize") + F.col("ysize")) <= (100 + percent) * (F.least(F.col("xrepeated") - F.col("xplace"), F.col("yrepeated") - F.col("yplace")) + need - 1)
+    def need(a: str, b: str):
+        return F.least(f"{a}need", f"{b}need")
 
-    hub = F.min(F.struct((F.col("size") - F.col("repeated")).alias("own"), F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("repeated").alias("hub_repeated")))
+    def early(a: str, b: str):
+        """Of a pair, only places within the prefixes for its own least overlap count: percent * (na + nb) / (100 + percent), at most that of the emitted ones."""
+        left = F.least(F.col(f"{a}repeated") - F.col(f"{a}place"), F.col(f"{b}repeated") - F.col(f"{b}place"))
+        return percent * (F.col(f"{a}size") + F.col(f"{b}size")) <= (100 + percent) * (left + need(a, b) - 1)
+
+    def candidates(met: DataFrame, a: str, b: str, id: str, hub: str) -> DataFrame:
+        """Pairs (id, hub, n) that share as many prefix shingles as they need."""
+        met = met.filter(fits(a, b) & early(a, b)).groupBy(F.col(id).alias("id"), F.col(hub).alias("hub"))
+        return met.agg(F.count(F.lit(1)).alias("n"), F.min(need(a, b)).alias("need")).filter("n >= need")
+
+    of_hub = [F.col(c).alias(f"hub_{c}") for c in ("size", "repeated", "need", "place")]
+    hub = F.min(F.struct((F.col("size") - F.col("repeated")).alias("own"), F.col("id").alias("hub"), *of_hub))
     # What postings are joined with is written first: a join of two plain tables can split a frequent token.
-    hubs = posts.groupBy("token").agg(hub.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "h.hub", "h.hub_size", "h.hub_repeated")
+    hubs = posts.groupBy("token").agg(hub.alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("token", "h.hub", *[f"h.hub_{c}" for c in ("size", "repeated", "need", "place")])
     hubs = cut(hubs, "hubs")
-    met = posts.join(hubs, "token").filter((F.col("id") != F.col("hub")) & fits("", "hub_")).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    met = candidates(posts.join(hubs, "token").filter("id <> hub"), "", "hub_", "id", "hub")
     stars = _verified(alone, met.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), n, percent)
 
     groups = components(stars).withColumnRenamed("node", "id")
@@ -398,14 +409,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     mixed = cut(mixed, "mixed")
     placed = cut(placed.join(mixed, "token", "left_semi"), "placed")
     x, y = (placed.select(*[F.col(c).alias(f"{p}{c}" if c != "token" else c) for c in placed.columns]) for p in "xy")
-    pairs = (
-        x.join(y, "token")
-        .filter((F.col("xcomponent") != F.col("ycomponent")) & (F.col("xid") < F.col("yid")) & fits("x", "y") & early)
-        .groupBy(F.col("yid").alias("id"), F.col("xid").alias("hub"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(need).alias("need"))
-        .filter("n >= need")
-        .select("id", "hub")
-    )
+    pairs = candidates(x.join(y, "token").filter("xcomponent <> ycomponent and xid < yid"), "x", "y", "yid", "xid").select("id", "hub")
     rest = _verified(alone, pairs, n, percent)
 
     edges = stars.union(rest).union(copies.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))

@@ -30,7 +30,8 @@ def _renamed(right: DataFrame, taken: set[str], prefix: str | None, suffix: str
 
 def _small(df: DataFrame) -> bool:
     """Whether the optimizer's estimate of its size permits a broadcast; a side of unknown size isn't small."""
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= BROADCAST_BYTES
+    # The gateway gives a number or an object that prints as one.
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
 
 
 def _bounds(rows: DataFrame, on: str) -> list:

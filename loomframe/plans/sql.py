@@ -64,7 +64,7 @@ _SQL = {
         GROUP BY c_nationkey""",
     # Offers of parts by suppliers come from the lines; dates of receipt and shipping modes aren't in the tables.
     "tpch_q2_cheapest_suppliers": """
-        WITH offers AS (SELECT l_partkey AS partkey, l_suppkey AS suppkey, round(min(l_extendedprice / l_quantity), 4) AS cost FROM lineitem GROUP BY l_partkey, l_suppkey)
+        WITH offers AS (SELECT l_partkey AS partkey, l_suppkey AS suppkey, round(min(l_extendedprice / l_quantity), 8) AS cost FROM lineitem GROUP BY l_partkey, l_suppkey)
         SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, cost FROM part JOIN offers o ON p_partkey = o.partkey JOIN supplier ON s_suppkey = o.suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         WHERE p_size = 15 AND p_type = 'STANDARD' AND r_name = 'EUROPE' AND cost = (
             SELECT min(i.cost) FROM offers i JOIN supplier s ON s.s_suppkey = i.suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE i.partkey = p_partkey AND r.r_name = 'EUROPE')

@@ -64,7 +64,8 @@ def encode(expr, charset: str):
     if charset in _COMPRESS:
         return compress(expr, charset)
     x = c(expr).cast("binary")
-    return {"base64": lambda: F.base64(x).cast("binary"), "hex": lambda: F.lower(F.hex(x)).cast("binary"), "utf8": lambda: x, "utf-8": lambda: x}[charset]()
+    # Spark breaks lines after 76 characters, unless a setting says otherwise.
+    return {"base64": lambda: F.replace(F.base64(x), F.lit("\r\n"), F.lit("")).cast("binary"), "hex": lambda: F.lower(F.hex(x)).cast("binary"), "utf8": lambda: x, "utf-8": lambda: x}[charset]()
 
 
 @public

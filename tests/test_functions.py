@@ -50,6 +50,17 @@ def test_null_rules(one):
     assert row.jaccard == pytest.approx(1 / 3)
 
 
+def test_base64_of_long_values_has_no_line_breaks(one):
+    import base64
+
+    for text in ("x" * 57, "x" * 58, "é\r\n" * 99, ""):
+        wanted = base64.b64encode(text.encode()).decode()
+        for encode in (L.encode, L.try_encode):
+            coded = encode(F.lit(text), "base64")
+            assert value(one, coded.cast("string")) == wanted
+            assert value(one, L.decode(coded, "base64").cast("string")) == text
+
+
 def test_week_buckets_begin_on_thursday(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-03 10:00:00' AS t")
     assert str(df.select(L.date_trunc("1 week", F.col("t"))).first()[0]) == "2023-12-28 00:00:00"
